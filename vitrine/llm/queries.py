@@ -7,10 +7,24 @@ from pyspark.sql import functions as F
 
 from vitrine.session import table
 
-from . import chat, sharding, warc
+from . import chat, packing, sharding, tokens, warc
 from .shared import scratch_path
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public vocabulary file, the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2, window=4096)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens"
+    )
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     archives = warc.write_archives(table(spark, sf_dir, "pages"), folder, min_revisit_bytes=0)
@@ -47,10 +61,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_warc": op2_warc,
     "op4_chat": op4_chat,
     "op7_sharding": op7_sharding,
+    "op10_token_counts": op10_token_counts,
 }
 
 SQL = {

@@ -245,4 +245,5 @@ def read_archives(spark: SparkSession, folder: str, archives: DataFrame, split_b
                     yield pa.RecordBatch.from_pydict({f.name: pa.array([r[f.name] for r in rows], types.get(f.name, pa.string())) for f in schema})
 
     split = ranges(spark, archives, split_bytes)
-    return split.repartition("file", "start").mapInArrow(read, schema)
+    tasks = (archives.agg(F.sum("bytes")).first()[0] or 0) // split_bytes + 1
+    return split.repartition(tasks, "file", "start").mapInArrow(read, schema)
