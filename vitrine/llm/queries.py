@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.session import table
 
-from . import chat, packing, sharding, tokens, warc
+from . import chat, packing, rules, sharding, tokens, warc
 from .shared import scratch_path
 
 
@@ -33,6 +33,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judged(docs, rules.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -68,6 +73,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
+    "op3_rules": op3_rules,
     "op4_chat": op4_chat,
     "op7_sharding": op7_sharding,
     "op10_token_counts": op10_token_counts,
