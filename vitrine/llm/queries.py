@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.session import table
 
-from . import chat, packing, rules, sharding, tokens, warc
+from . import chat, classifier, packing, rules, sharding, tokens, warc
 from .shared import scratch_path
 
 
@@ -66,6 +66,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = classifier.trained(docs, table(spark, sf_dir, "labels"), "quality")
+    return classifier.scored(docs, model, least=0.3).select(
+        "doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
@@ -76,6 +84,7 @@ QUERIES = {
     "op3_rules": op3_rules,
     "op4_chat": op4_chat,
     "op7_sharding": op7_sharding,
+    "op9_classifier": op9_classifier,
     "op10_token_counts": op10_token_counts,
 }
 
