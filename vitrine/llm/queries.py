@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.session import table
 
-from . import chat, classifier, packing, rules, sharding, tokens, warc
+from . import chat, classifier, decontaminate, packing, rules, sharding, tokens, warc
 from .shared import scratch_path
 
 
@@ -50,6 +50,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(given.unionByName(own)))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards, seed = 16, 20240601
     folder = sharding.write_shards(spark, table(spark, sf_dir, "documents"), shards=shards, seed=seed)
@@ -83,6 +87,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_rules": op3_rules,
     "op4_chat": op4_chat,
+    "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,
     "op9_classifier": op9_classifier,
     "op10_token_counts": op10_token_counts,
