@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.session import table
 
-from . import chat, classifier, decontaminate, packing, rules, sharding, tokens, warc
+from . import chat, classifier, decontaminate, packing, rules, sharding, suffixes, tokens, warc
 from .shared import scratch_path
 
 
@@ -70,6 +70,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return suffixes.repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "repeated", "cut", words("repeated").alias("repeated_words"), words("cut").alias("cut_words")
+    )
+
+
 def op9_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = classifier.trained(docs, table(spark, sf_dir, "labels"), "quality")
@@ -89,6 +96,7 @@ QUERIES = {
     "op4_chat": op4_chat,
     "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,
+    "op8_suffixes": op8_suffixes,
     "op9_classifier": op9_classifier,
     "op10_token_counts": op10_token_counts,
 }
