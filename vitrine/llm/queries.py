@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.session import table
 
-from . import chat, classifier, decontaminate, packing, rules, sharding, suffixes, tokens, warc
+from . import chat, classifier, decontaminate, minhash, packing, rules, sharding, suffixes, tokens, warc
 from .shared import scratch_path
 
 
@@ -50,6 +50,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(given.unionByName(own)))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"), least=0.8)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8)
 
@@ -94,6 +98,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_rules": op3_rules,
     "op4_chat": op4_chat,
+    "op5_minhash": op5_minhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,
     "op8_suffixes": op8_suffixes,
