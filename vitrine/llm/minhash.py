@@ -127,7 +127,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             key, row = samples(rows, values, weights) if len(rows) else (np.zeros(0, U), np.zeros(0, np.int64))
             edges = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [chunk.batch.column("doc_id"), pa.array(c1, mask=none), pa.array(c2, mask=none), pa.array(np.bincount(rows, weights, n)), pa.ListArray.from_arrays(pa.array(edges), pa.array(key.view(np.int64)))],
+                [chunk.batch.column("doc_id"), pa.array(c1, mask=none), pa.array(c2, mask=none), pa.array(np.bincount(rows, weights, n).astype(float)), pa.ListArray.from_arrays(pa.array(edges), pa.array(key.view(np.int64)))],
                 names=["doc_id", "c1", "c2", "weight", "keys"],
             )
 
