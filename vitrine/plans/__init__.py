@@ -1,4 +1,6 @@
 """Registered queries (name to function) and their SQL (name to text)."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import behaviour, commerce, evaluation, filters, language, preparation, retrieval, state
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "behaviour", "commerce", "evaluation", "filters", "language", "preparation", "retrieval", "state"]
