@@ -12,12 +12,19 @@ band. Two documents agree in one sample with a probability of their bins' weight
 similarity s, so in some band with 1 - (1 - s**ROWS)**BANDS: 0.999997 at 0.8.
 
 Classes: documents with the same words are one content (128-bit hash), grouped with partial
-sums. Contents that share a key are compared to centres of their bucket: in round k, to the
-2**k next members in a fixed order, but only if they are not in the centre's class yet; a
-centre has then met all and leaves the bucket. Rounds go on until each bucket is of one class or
-has no two members left, so no link is lost, and a group of near copies, which its first centre
-joins, is never expanded into its pairs. Compared pairs are verified by exact weighted Jaccard
-similarity of the whole texts. Links become classes by spreading the least id, in joins.
+sums. Contents that share a key are a bucket, and its most popular member (whose buckets are
+largest in all) is its hub; members are compared to their hubs only, by exact weighted Jaccard
+similarity of the whole texts. Two members x and y of a bucket that are not both linked to its
+hub h may be linked to each other. If they have no shingle in common that both weigh more in
+than h does, the minima of x and y add up to no more than those of x and h, or of y and h; so
+
+    similarity(x, y) >= s  needs  shared(x, h) and shared(y, h) >= s / (1 + s) * (W(x) + W(y)).
+
+Pairs that meet this (few, where x just misses h) are compared. All others share a shingle beyond
+h: members are dealt to new buckets by hub and shingle beyond it, and the same is done there, as
+long as a bucket has members of two classes. So no link is lost, and a group of near copies,
+whether or not they are near each other, is never expanded into its pairs. Links become classes
+by spreading the least id, in joins.
 
 Words are lower-case runs of a-z, 0-9 and characters beyond ASCII. Defined cases: a text of
 fewer than five words, but one, is one shingle; null and wordless texts are in classes of their
@@ -32,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import texts, written
@@ -134,34 +141,42 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").mapInArrow(sketch, _SKETCH)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """a, b, similarity of the pairs of at least ``least``; only the texts of paired documents are moved twice."""
+_COMPARED = "hub long, node long, similarity double, shared double, weight double, hub_weight double, beyond array<long>"
+
+
+def compared(pairs: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Of pairs (hub, node, wanted): similarity, sum of minima, weights, and if wanted the node's shingles beyond the hub."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text_a", lower=True):
-            other = Chunk(chunk.batch, "text_b", lower=True)
-            sides = []
-            for side in (chunk, other):
+            n, sides = chunk.rows, []
+            for side in (chunk, Chunk(chunk.batch, "text_b", lower=True)):
                 rows, values, weights, _, _ = weighted(side, idf)
-                key = mix(values ^ mix(rows.astype(U) + U(1)))
-                order = np.argsort(key)
-                sides.append((key[order], rows[order], weights[order]))
-            (ka, ra, wa), (kb, rb, wb) = sides
-            n = chunk.rows
-            total = np.bincount(ra, wa, n) + np.bincount(rb, wb, n)
-            if len(ka) and len(kb):
-                place = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
-                same = kb[place] == ka
-                both = np.bincount(ra[same], np.minimum(wa[same], wb[place[same]]), n)
-            else:
-                both = np.zeros(n)
-            similar = both / np.maximum(total - both, 1e-300)
-            hit = pa.array(similar >= least)
-            yield pa.RecordBatch.from_arrays([chunk.batch.column("a").filter(hit), chunk.batch.column("b").filter(hit), pa.array(similar).filter(hit)], names=["a", "b", "similarity"])
-
-    one = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long, similarity double")
+                sides.append((mix(values ^ mix(rows.astype(U) + U(1))), rows, values, weights))
+            (ka, ra, _, wa), (kb, rb, vb, wb) = sides
+            order = np.argsort(ka)
+            known = np.zeros(len(kb))
+            if len(ka):
+                place = np.minimum(np.searchsorted(ka[order], kb), len(ka) - 1)
+                known = np.where(ka[order][place] == kb, wa[order][place], 0.0)
+            both = np.bincount(rb, np.minimum(wb, known), n).astype(float)
+            a, b = np.bincount(ra, wa, n).astype(float), np.bincount(rb, wb, n).astype(float)
+            wanted = chunk.batch.column("wanted").to_numpy(zero_copy_only=False)
+            more = (wb > known) & wanted[rb]
+            edges = np.searchsorted(rb[more], np.arange(n + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    chunk.batch.column("hub"),
+                    chunk.batch.column("node"),
+                    *map(pa.array, (both / np.maximum(a + b - both, 1e-300), both, b, a)),
+                    pa.ListArray.from_arrays(pa.array(edges), pa.array(vb[more].view(np.int64))),
+                ],
+                names=[f.split()[0] for f in _COMPARED.split(", ")],
+            )
+
+    one = pairs.join(docs.select(F.col("doc_id").alias("hub"), F.col("text").alias("text_a")), "hub")
+    two = one.join(docs.select(F.col("doc_id").alias("node"), F.col("text").alias("text_b")), "node")
+    return two.select("hub", "node", "wanted", "text_a", "text_b").mapInArrow(compare, _COMPARED)
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -180,45 +195,60 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
-def _rounds(members: DataFrame, docs: DataFrame, idf: np.ndarray, least: float) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verified links, and components of them, of members (key, node, weight) of buckets of two or more."""
-    links = tried = labels = None
-    live, width = members, 1
+def _linked(members: DataFrame, docs: DataFrame, idf: np.ndarray, least: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links (a, b) and the components they make, for members (key, node, popular) of buckets of two or more."""
+    links = labels = used = None
+
+    def link(found: DataFrame) -> None:
+        nonlocal links, labels
+        new = found.where(F.col("similarity") >= least).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
+
+    def with_class(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("own", F.col("node"))
+        return rows.join(labels, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
+
     while True:
-        own = live if labels is None else live.join(labels, "node", "left")
-        own = own.withColumn("own", F.coalesce("component", "node") if labels is not None else F.col("node"))
-        open_keys = written(
-            own.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))).alias("first")).where("low <> high"),
-            "open",
-        )
-        if open_keys.isEmpty():
+        own = with_class(members)
+        fresh = own.withColumn("used", F.lit(False)) if used is None else own.join(used, "node", "left").withColumn("used", F.coalesce("used", F.lit(False)))
+        # The most popular that has not been a hub, by the least id of equals.
+        best = F.max(F.when(~F.col("used"), F.struct("popular", (-F.col("node")).alias("minus"))))
+        buckets = fresh.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), (-best["minus"]).alias("hub")).where("low <> high")
+        buckets = written(buckets.select("key", "hub"), "buckets")
+        if buckets.isEmpty():
             return links, labels
-        own = own.join(open_keys.select("key", "first"), "key")
-        if width == 1:
-            centres = own.where(F.col("node") == F.col("first.node"))
-        else:
-            place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
-            centres = own.withColumn("place", place).where(F.col("place") <= width)
-        centres = written(centres.select("key", F.col("node").alias("centre"), F.col("own").alias("centre_own"), F.col("weight").alias("centre_weight")), "centres")
-        own = own.drop("first")
-        # Neither total is below the threshold's share of the other in a pair that reaches it.
-        met = own.join(centres, "key").where(
-            (F.col("own") != F.col("centre_own")) & (F.least("weight", "centre_weight") >= (least - 1e-9) * F.greatest("weight", "centre_weight"))
-        )
-        pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not pairs.isEmpty():
-            new = written(verified(pairs, docs, idf, least), "links")
-            links = new if links is None else links.unionByName(new)
-            if not new.isEmpty():
-                labels = components(links)
-        live = written(
-            own.select("key", "node", "weight").join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti"), "live"
+        held = own.join(buckets, "key")
+        pairs = written(held.where("hub IS NOT NULL AND node <> hub").select("hub", "node").distinct(), "pairs")
+        # A bucket of hubs only: each has met what is in its other buckets; here they meet each other.
+        hubs = held.where("hub IS NULL").select("key", "node", "own")
+        meet = hubs.join(hubs.select("key", F.col("node").alias("hub"), F.col("own").alias("hub_own")), "key").where("hub < node AND own <> hub_own")
+        several = pairs.groupBy("hub").agg((F.count(F.lit(1)) > 1).alias("wanted"))
+        pairs = pairs.join(several, "hub").unionByName(meet.select("hub", "node").distinct().withColumn("wanted", F.lit(False)))
+        found = written(compared(pairs, docs, idf), "compared")
+        link(found)
+        new_hubs = buckets.where("hub IS NOT NULL").select(F.col("hub").alias("node")).distinct().withColumn("used", F.lit(True))
+        used = written(new_hubs if used is None else used.unionByName(new_hubs).distinct(), "used")
+        # Hubs that a member is not linked to, and the least weight of their members.
+        missed = found.groupBy("hub").agg(F.min("similarity").alias("worst"), F.min("weight").alias("lightest"), F.count(F.lit(1)).alias("n"))
+        missed = written(missed.where((F.col("worst") < least) & (F.col("n") > 1)).select("hub", "lightest"), "missed")
+        if missed.isEmpty():
+            return links, labels
+        around = with_class(found.join(missed, "hub"))
+        share = least / (1 + least) - 1e-9
+        one = around.where((F.col("similarity") < least) & (F.col("shared") >= share * (F.col("weight") + F.col("lightest")))).select(
+            "hub", F.col("node").alias("a"), F.col("own").alias("a_own"), F.col("shared").alias("a_shared"), F.col("weight").alias("a_weight")
         )
-        width *= 2
+        near = around.join(one, "hub").where((F.col("own") != F.col("a_own")) & (F.least("shared", "a_shared") >= share * (F.col("weight") + F.col("a_weight"))))
+        near = written(near.select(F.least("a", "node").alias("hub"), F.greatest("a", "node").alias("node")).distinct().withColumn("wanted", F.lit(False)), "near")
+        if not near.isEmpty():
+            link(written(compared(near, docs, idf), "compared"))
+        beyond = around.select("node", F.explode("beyond").alias("shingle"), "hub").select(F.xxhash64("hub", "shingle").alias("key"), "node")
+        shared = written(beyond.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+        popular = members.select("node", "popular").distinct()
+        members = written(beyond.join(shared, "key").join(popular, "node").select("key", "node", "popular"), "members")
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -229,10 +259,13 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     contents = written(
         sketch.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.max("weight").alias("weight"), F.first("keys").alias("keys")), "contents"
     )
-    keyed = contents.select("node", "weight", F.explode("keys").alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
-    members = written(keyed.join(shared, "key").select("key", "node", "weight"), "members")
-    links, labels = _rounds(members, own.where("doc_id IS NOT NULL"), idf, least)
+    keyed = contents.select("node", F.explode("keys").alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    met = written(keyed.join(shared, "key"), "met")
+    # Contents of one id are one node; how popular it is adds up over its buckets.
+    popular = met.groupBy("node").agg(F.sum("n").alias("popular"))
+    members = written(met.select("key", "node").join(popular, "node"), "members")
+    links, labels = _linked(members, own.where("doc_id IS NOT NULL"), idf, least)
     found = contents.select("c1", "c2", "node")
     if labels is None:
         found = found.select("c1", "c2", F.col("node").alias("class_id"), F.lit(0).cast("long").alias("links"))
