@@ -76,8 +76,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return suffixes.repeats(table(spark, sf_dir, "documents")).select(
-        "doc_id", "repeated", "cut", words("repeated").alias("repeated_words"), words("cut").alias("cut_words")
+        "doc_id", shown("repeated").alias("repeated"), shown("cut").alias("cut"), words("repeated").alias("repeated_words"), words("cut").alias("cut_words")
     )
 
 
@@ -107,6 +108,26 @@ QUERIES = {
 }
 
 SQL = {
+    "op8_suffixes": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS t FROM documents
+        ), win AS (
+            SELECT doc_id, i, hash(list_slice(t, i + 1, i + 50)) AS h FROM (SELECT doc_id, t, unnest(range(len(t) - 49)) AS i FROM w WHERE len(t) >= 50)
+        ), grp AS (
+            SELECT h, min(doc_id) AS low FROM win GROUP BY 1 HAVING min(doc_id) <> max(doc_id)
+        ), hit AS (
+            SELECT 'repeated' AS kind, doc_id, i FROM win JOIN grp USING (h) UNION ALL SELECT 'cut', doc_id, i FROM win JOIN grp USING (h) WHERE doc_id > low
+        ), isl AS (
+            SELECT kind, doc_id, i, sum(fresh) OVER (PARTITION BY kind, doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS n
+            FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY kind, doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM hit)
+        ), span AS (
+            SELECT kind, doc_id, min(i) AS a, max(i) + 50 AS b FROM isl GROUP BY kind, doc_id, n
+        ), doc AS (
+            SELECT kind, doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS list, CAST(sum(b - a) AS BIGINT) AS words FROM span GROUP BY 1, 2
+        )
+        SELECT r.doc_id, r.list AS repeated, coalesce(c.list, '') AS cut, r.words AS repeated_words, coalesce(c.words, 0) AS cut_words
+        FROM (SELECT * FROM doc WHERE kind = 'repeated') r LEFT JOIN (SELECT * FROM doc WHERE kind = 'cut') c ON r.doc_id = c.doc_id
+    """,
     "op2_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d FROM pages
