@@ -6,10 +6,10 @@ df being the number of documents with the word (of words in one of 2**IDF_BITS h
 Frequencies are taken from words since a shingle's own would let a large group of copies lower
 the weight of all it shares, and would need a table larger than the corpus.
 
-Sampling: shingles fall by hash into BANDS bins. In each, ROWS consistent weighted samples
-(shingle, quantised weight) are drawn, and the samples of a bin together are the key of that
-band. Two documents agree in one sample with a probability of their bins' weighted Jaccard
-similarity s, so in some band with 1 - (1 - s**ROWS)**BANDS: 0.999997 at 0.8.
+Sampling: ROWS times, shingles fall by another hash into BANDS bins, and a consistent weighted
+sample (shingle, quantised weight) is drawn from each; an empty bin takes the next one's. The
+samples of a bin in all ROWS deals are the key of that band. Two documents agree in a sample
+with a probability of their weighted Jaccard similarity s, so in some band with 1 - (1 - s**ROWS)**BANDS: 0.99994 at 0.8, 0.02 at 0.3.
 
 Classes: documents with the same words are one content (128-bit hash), grouped with partial
 sums. Contents that share a key are a bucket, and its most popular member (whose buckets are
@@ -20,9 +20,11 @@ than h does, the minima of x and y add up to no more than those of x and h, or o
 
     similarity(x, y) >= s  needs  shared(x, h) and shared(y, h) >= s / (1 + s) * (W(x) + W(y)).
 
-Pairs that meet this (few, where x just misses h) are compared. All others share a shingle beyond
-h: members are dealt to new buckets by hub and shingle beyond it, and the same is done there, as
-long as a bucket has members of two classes. So no link is lost, and a group of near copies,
+Pairs that meet this (few, where x just misses h) are compared. All others share shingles beyond
+h, of the weight that is missing: members are dealt to new buckets by hub and shingle beyond it
+(but for as many of the last ones, in the order of hashes, as weigh less than that), and the same
+is done there, as long as a bucket has members of two classes; if it has SMALL members or fewer,
+those of different classes are all compared. So no link is lost, and a group of near copies,
 whether or not they are near each other, is never expanded into its pairs. Links become classes
 by spreading the least id, in joins.
 
@@ -46,8 +48,10 @@ from .shared import texts, written
 from .textkit import LOWER_WORD, U, Chunk, chunks, mix, row_of, run_hashes, shingles
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 32, 6
 IDF_BITS = 18
+#: When hubs have made classes, buckets of so many members are compared in full.
+SMALL = 32
 _SKETCH = "doc_id long, c1 long, c2 long, weight double, keys array<long>"
 
 
@@ -95,30 +99,34 @@ def weighted(chunk: Chunk, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return r[new], v[new], w[new] * np.diff(np.append(new, len(v))), words, first
 
 
-def samples(rows: np.ndarray, values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The key of each band that a row has shingles in, and its row."""
-    group = rows * BANDS + (mix(values ^ U(0xB1)) % U(BANDS)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
-    group, values, weights = group[order], values[order], np.log(weights[order])
-    new = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    size = np.diff(np.append(new, len(group)))
-    key = mix(group[new].astype(U) % U(BANDS) + U(1))
-    scale = 1.0 / (1 << 32)
+def samples(rows: np.ndarray, values: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """The keys of all bands of n rows, in an array of n by BANDS. Rows without a shingle have no meaningful ones."""
+    weights, scale = np.log(weights), 1.0 / (1 << 32)
     halves = lambda x: (((x >> U(32)).astype(np.float64) + 0.5) * scale, ((x & U(0xFFFFFFFF)).astype(np.float64) + 0.5) * scale)
+    keys = np.tile(mix(np.arange(1, BANDS + 1, dtype=U)), (n, 1))
     for k in range(ROWS):
         base = mix(values ^ U(0x1000 + k))
+        second = mix(base ^ U(0x2000))
+        third = mix(base ^ U(0x3000))
+        group = rows * BANDS + (third & U(0xFFFFFFFF)).astype(np.int64) % BANDS
         u1, u2 = halves(base)
-        u3, u4 = halves(mix(base ^ U(0x2000)))
-        beta, _ = halves(mix(base ^ U(0x3000)))
+        u3, u4 = halves(second)
+        beta, _ = halves(third)
         r = -np.log(u1 * u2)
         t = np.floor(weights / r + beta)
         # ln a = ln c - ln y - r with ln y = r (t - beta)
         cost = np.log(-np.log(u3 * u4)) - r * (t - beta + 1)
-        least = np.repeat(np.minimum.reduceat(cost, new), size)
-        at = np.flatnonzero(cost == least)
-        at = at[np.append(True, group[at][1:] != group[at][:-1])]
-        key = mix(key ^ mix(values[at] ^ mix(t[at].astype(np.int64).astype(U) + U(k))))
-    return key, group[new] // BANDS
+        least = np.full(n * BANDS, np.inf)
+        np.minimum.at(least, group, cost)
+        at = np.flatnonzero(cost == least[group])
+        drawn = np.zeros(n * BANDS, U)
+        drawn[group[at]] = mix(values[at] ^ mix(t[at].astype(np.int64).astype(U) + U(k)))
+        drawn = drawn.reshape(n, BANDS)
+        # A bin without a shingle takes the sample of the next one that has some, around the end.
+        place = np.where(np.tile(np.isfinite(least).reshape(n, BANDS), 2), np.arange(2 * BANDS), 4 * BANDS)
+        following = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :BANDS] % BANDS
+        keys = mix(keys ^ np.take_along_axis(drawn, following, 1))
+    return keys
 
 
 def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -131,10 +139,10 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             none = np.diff(first) == 0
             c1 = run_hashes(words, first[:-1], first[1:]).view(np.int64)
             c2 = run_hashes(mix(words ^ U(0xC2)), first[:-1], first[1:]).view(np.int64)
-            key, row = samples(rows, values, weights) if len(rows) else (np.zeros(0, U), np.zeros(0, np.int64))
-            edges = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+            keys = samples(rows, values, weights, n)
+            edges = np.arange(n + 1, dtype=np.int32) * BANDS
             yield pa.RecordBatch.from_arrays(
-                [chunk.batch.column("doc_id"), pa.array(c1, mask=none), pa.array(c2, mask=none), pa.array(np.bincount(rows, weights, n).astype(float)), pa.ListArray.from_arrays(pa.array(edges), pa.array(key.view(np.int64)))],
+                [chunk.batch.column("doc_id"), pa.array(c1, mask=none), pa.array(c2, mask=none), pa.array(np.bincount(rows, weights, n).astype(float)), pa.ListArray.from_arrays(pa.array(edges), pa.array(keys.ravel().view(np.int64)))],
                 names=["doc_id", "c1", "c2", "weight", "keys"],
             )
 
@@ -144,7 +152,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 _COMPARED = "hub long, node long, similarity double, shared double, weight double, hub_weight double, beyond array<long>"
 
 
-def compared(pairs: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
     """Of pairs (hub, node, wanted): similarity, sum of minima, weights, and if wanted the node's shingles beyond the hub."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +170,14 @@ def compared(pairs: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
             both = np.bincount(rb, np.minimum(wb, known), n).astype(float)
             a, b = np.bincount(ra, wa, n).astype(float), np.bincount(rb, wb, n).astype(float)
             wanted = chunk.batch.column("wanted").to_numpy(zero_copy_only=False)
-            more = (wb > known) & wanted[rb]
+            more = np.flatnonzero((wb > known) & wanted[rb])
+            # What the node has beyond the hub, in the order of hashes, from each shingle on. A partner
+            # weighs 0.8 of the node at least and shares at least `need` of it, so a shared shingle
+            # comes before the last ones that weigh less than that.
+            rest = np.concatenate([np.cumsum((wb - known)[more][::-1])[::-1], [0.0]])
+            last = np.searchsorted(rb[more], rb[more], "right")
+            need = np.maximum(least * b - both, 0.0) * (1 - 1e-9)
+            more = more[rest[:-1] - rest[last] >= need[rb[more]]]
             edges = np.searchsorted(rb[more], np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -197,14 +212,25 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 def _linked(members: DataFrame, docs: DataFrame, idf: np.ndarray, least: float) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (a, b) and the components they make, for members (key, node, popular) of buckets of two or more."""
-    links = labels = used = None
+    links = labels = used = seen = None
+    full = 2
 
     def link(found: DataFrame) -> None:
         nonlocal links, labels
         new = found.where(F.col("similarity") >= least).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
+        links = new if links is None else links.unionByName(new)
+        ends = written(new.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        if ends.isEmpty():
+            return
+        # Known classes are the nodes that the new links join.
+        known = ends.withColumn("component", F.col("node"))
+        if labels is not None:
+            known = labels.unionByName(known.join(labels, "node", "left_anti"))
+        known = written(known, "known")
+        of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_own"))
+        joins = new.join(of("a"), "a").join(of("b"), "b").where("a_own <> b_own").select(F.col("a_own").alias("a"), F.col("b_own").alias("b"))
+        groups = components(joins.distinct()).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        labels = written(known.join(groups, "component", "left").select("node", F.coalesce("joined", "component").alias("component")), "labels")
 
     def with_class(rows: DataFrame) -> DataFrame:
         if labels is None:
@@ -214,29 +240,38 @@ def _linked(members: DataFrame, docs: DataFrame, idf: np.ndarray, least: float)
     while True:
         own = with_class(members)
         fresh = own.withColumn("used", F.lit(False)) if used is None else own.join(used, "node", "left").withColumn("used", F.coalesce("used", F.lit(False)))
-        # The most popular that has not been a hub, by the least id of equals.
+        # The most popular that has not dealt members on, by the least id of equals.
         best = F.max(F.when(~F.col("used"), F.struct("popular", (-F.col("node")).alias("minus"))))
-        buckets = fresh.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), (-best["minus"]).alias("hub")).where("low <> high")
-        buckets = written(buckets.select("key", "hub"), "buckets")
+        buckets = fresh.groupBy("key").agg(
+            F.min("own").alias("low"), F.max("own").alias("high"), (-best["minus"]).alias("hub"), F.count(F.lit(1)).alias("n")
+        ).where("low <> high")
+        buckets = written(buckets.select("key", F.when(F.col("n") > full, F.col("hub")).alias("hub")), "buckets")
         if buckets.isEmpty():
             return links, labels
         held = own.join(buckets, "key")
-        pairs = written(held.where("hub IS NOT NULL AND node <> hub").select("hub", "node").distinct(), "pairs")
-        # A bucket of hubs only: each has met what is in its other buckets; here they meet each other.
+        pairs = written(held.where("hub IS NOT NULL AND node <> hub").select("hub", "node").distinct().withColumn("wanted", F.lit(True)), "pairs")
+        # In small buckets, and in those of such hubs only, members are compared to each other.
         hubs = held.where("hub IS NULL").select("key", "node", "own")
         meet = hubs.join(hubs.select("key", F.col("node").alias("hub"), F.col("own").alias("hub_own")), "key").where("hub < node AND own <> hub_own")
-        several = pairs.groupBy("hub").agg((F.count(F.lit(1)) > 1).alias("wanted"))
-        pairs = pairs.join(several, "hub").unionByName(meet.select("hub", "node").distinct().withColumn("wanted", F.lit(False)))
-        found = written(compared(pairs, docs, idf), "compared")
+        meet = meet.select("hub", "node").distinct()
+        if seen is not None:
+            meet = meet.join(seen, ["hub", "node"], "left_anti")
+        pairs = pairs.unionByName(meet.withColumn("wanted", F.lit(False)))
+        found = written(compared(pairs, docs, idf, least), "compared")
         link(found)
-        new_hubs = buckets.where("hub IS NOT NULL").select(F.col("hub").alias("node")).distinct().withColumn("used", F.lit(True))
-        used = written(new_hubs if used is None else used.unionByName(new_hubs).distinct(), "used")
-        # Hubs that a member is not linked to, and the least weight of their members.
-        missed = found.groupBy("hub").agg(F.min("similarity").alias("worst"), F.min("weight").alias("lightest"), F.count(F.lit(1)).alias("n"))
-        missed = written(missed.where((F.col("worst") < least) & (F.col("n") > 1)).select("hub", "lightest"), "missed")
+        both = found.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
+        seen = both if seen is None else seen.unionByName(both)
+        full = SMALL
+        # Hubs whose members are of several classes still, and the least weight of their members.
+        around = with_class(found.join(pairs.where("wanted").select("hub", "node"), ["hub", "node"]))
+        missed = around.groupBy("hub").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.min("weight").alias("lightest")).where("low <> high")
+        missed = written(missed.select("hub", "lightest"), "missed")
         if missed.isEmpty():
             return links, labels
-        around = with_class(found.join(missed, "hub"))
+        # Hubs that deal their members on are hubs but once, so this ends.
+        new_hubs = missed.select(F.col("hub").alias("node"), F.lit(True).alias("used"))
+        used = written(new_hubs if used is None else used.unionByName(new_hubs).distinct(), "used")
+        around = around.join(missed, "hub")
         share = least / (1 + least) - 1e-9
         one = around.where((F.col("similarity") < least) & (F.col("shared") >= share * (F.col("weight") + F.col("lightest")))).select(
             "hub", F.col("node").alias("a"), F.col("own").alias("a_own"), F.col("shared").alias("a_shared"), F.col("weight").alias("a_weight")
@@ -244,7 +279,7 @@ def _linked(members: DataFrame, docs: DataFrame, idf: np.ndarray, least: float)
         near = around.join(one, "hub").where((F.col("own") != F.col("a_own")) & (F.least("shared", "a_shared") >= share * (F.col("weight") + F.col("a_weight"))))
         near = written(near.select(F.least("a", "node").alias("hub"), F.greatest("a", "node").alias("node")).distinct().withColumn("wanted", F.lit(False)), "near")
         if not near.isEmpty():
-            link(written(compared(near, docs, idf), "compared"))
+            link(written(compared(near, docs, idf, least), "compared"))
         beyond = around.select("node", F.explode("beyond").alias("shingle"), "hub").select(F.xxhash64("hub", "shingle").alias("key"), "node")
         shared = written(beyond.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
         popular = members.select("node", "popular").distinct()
@@ -265,7 +300,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # Contents of one id are one node; how popular it is adds up over its buckets.
     popular = met.groupBy("node").agg(F.sum("n").alias("popular"))
     members = written(met.select("key", "node").join(popular, "node"), "members")
-    links, labels = _linked(members, own.where("doc_id IS NOT NULL"), idf, least)
+    # Only texts of documents that share a key are read again.
+    wanted = own.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    links, labels = _linked(members, written(wanted, "wanted"), idf, least)
     found = contents.select("c1", "c2", "node")
     if labels is None:
         found = found.select("c1", "c2", F.col("node").alias("class_id"), F.lit(0).cast("long").alias("links"))
