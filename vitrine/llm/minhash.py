@@ -21,10 +21,11 @@ than h does, the minima of x and y add up to no more than those of x and h, or o
     similarity(x, y) >= s  needs  shared(x, h) and shared(y, h) >= s / (1 + s) * (W(x) + W(y)).
 
 Pairs that meet this (few, where x just misses h) are compared. All others share shingles beyond
-h, of the weight that is missing: members are dealt to new buckets by hub and shingle beyond it
-(but for as many of the last ones, in the order of hashes, as weigh less than that), and the same
-is done there, as long as a bucket has members of two classes; if it has SMALL members or fewer,
-those of different classes are all compared. So no link is lost, and a group of near copies,
+h, of the weight that is missing: members are dealt to new buckets by hub and shingle beyond it.
+Shingles that only one class has beyond h count for nothing there; of the others, rare ones come
+first, and as many of the last as weigh less than what is missing are left out. The same is done
+in the new buckets, as long as a bucket has members of two classes; if it has SMALL members or
+fewer, those of different classes are all compared. So no link is lost, and a group of near copies,
 whether or not they are near each other, is never expanded into its pairs. Links become classes
 by spreading the least id, in joins.
 
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import texts, written
@@ -51,7 +52,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 IDF_BITS = 18
 #: When hubs have made classes, buckets of so many members are compared in full.
-SMALL = 32
+SMALL = 64
 _SKETCH = "doc_id long, c1 long, c2 long, weight double, keys array<long>"
 
 
@@ -149,11 +150,11 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").mapInArrow(sketch, _SKETCH)
 
 
-_COMPARED = "hub long, node long, similarity double, shared double, weight double, hub_weight double, beyond array<long>"
+_COMPARED = "hub long, node long, similarity double, shared double, weight double, hub_weight double, beyond array<long>, extra array<double>"
 
 
 def compared(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """Of pairs (hub, node, wanted): similarity, sum of minima, weights, and if wanted the node's shingles beyond the hub."""
+    """Of pairs (hub, node, wanted): similarity, sum of minima, weights, and if wanted the shingles that weigh more in the node than in the hub, and by how much."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text_a", lower=True):
@@ -171,20 +172,14 @@ def compared(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, least: float) -
             a, b = np.bincount(ra, wa, n).astype(float), np.bincount(rb, wb, n).astype(float)
             wanted = chunk.batch.column("wanted").to_numpy(zero_copy_only=False)
             more = np.flatnonzero((wb > known) & wanted[rb])
-            # What the node has beyond the hub, in the order of hashes, from each shingle on. A partner
-            # weighs 0.8 of the node at least and shares at least `need` of it, so a shared shingle
-            # comes before the last ones that weigh less than that.
-            rest = np.concatenate([np.cumsum((wb - known)[more][::-1])[::-1], [0.0]])
-            last = np.searchsorted(rb[more], rb[more], "right")
-            need = np.maximum(least * b - both, 0.0) * (1 - 1e-9)
-            more = more[rest[:-1] - rest[last] >= need[rb[more]]]
-            edges = np.searchsorted(rb[more], np.arange(n + 1)).astype(np.int32)
+            edges = pa.array(np.searchsorted(rb[more], np.arange(n + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     chunk.batch.column("hub"),
                     chunk.batch.column("node"),
                     *map(pa.array, (both / np.maximum(a + b - both, 1e-300), both, b, a)),
-                    pa.ListArray.from_arrays(pa.array(edges), pa.array(vb[more].view(np.int64))),
+                    pa.ListArray.from_arrays(edges, pa.array(vb[more].view(np.int64))),
+                    pa.ListArray.from_arrays(edges, pa.array((wb - known)[more])),
                 ],
                 names=[f.split()[0] for f in _COMPARED.split(", ")],
             )
@@ -280,10 +275,18 @@ def _linked(members: DataFrame, docs: DataFrame, idf: np.ndarray, least: float)
         near = written(near.select(F.least("a", "node").alias("hub"), F.greatest("a", "node").alias("node")).distinct().withColumn("wanted", F.lit(False)), "near")
         if not near.isEmpty():
             link(written(compared(near, docs, idf, least), "compared"))
-        beyond = around.select("node", F.explode("beyond").alias("shingle"), "hub").select(F.xxhash64("hub", "shingle").alias("key"), "node")
-        shared = written(beyond.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+        # What a pair of different classes must share beyond the hub, at least.
+        missing = share * (F.col("weight") + F.greatest("lightest", least * F.col("weight"))) - F.col("shared")
+        beyond = around.select("hub", "node", "own", missing.alias("missing"), F.explode(F.arrays_zip("beyond", "extra")).alias("one")).select(
+            F.xxhash64("hub", "one.beyond").alias("key"), "hub", "node", "own", "missing", "one.extra"
+        )
+        counts = beyond.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
+        shared = written(counts.where("low <> high").select("key", "n"), "shared")
+        # Each shingle with those after it; a pair's first common shingle is before all its others.
+        after = Window.partitionBy("hub", "node").orderBy(F.desc("n"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        first = beyond.join(shared, "key").withColumn("rest", F.sum("extra").over(after)).where("rest >= missing * (1 - 1e-9)")
         popular = members.select("node", "popular").distinct()
-        members = written(beyond.join(shared, "key").join(popular, "node").select("key", "node", "popular"), "members")
+        members = written(first.select("key", "node").join(popular, "node").select("key", "node", "popular"), "members")
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
