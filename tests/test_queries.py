@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from vitrine.plans import QUERIES, SQL
@@ -21,7 +22,7 @@ def con(sf):
 def shown(value):
     if hasattr(value, "item"):
         value = value.item()
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return "null"
     if isinstance(value, float):
         return f"{value:.6g}" if math.isfinite(value) else str(value)
