@@ -187,6 +187,38 @@ def test_chains_of_near_duplicates(spark):
     assert got == brute_classes(dict(rows), idf)
 
 
+def test_near_duplicates_of_repeated_lines(spark):
+    """Documents whose weight is in few shingles, each often repeated, and a tail of their own."""
+    line, rows = {}, []
+    for k, (shared, times, tail) in enumerate(((10, 100, 60), (12, 200, 100), (20, 50, 100), (5, 300, 150), (6, 100, 50))):
+        line[k] = " ".join(f"l{k}x{i}" for i in range(shared))
+        rows += [(10 * k + d, " ".join([line[k]] * times + [f"t{k}d{d}y{i}" for i in range(tail - d)])) for d in range(2)]
+    # And a few short texts, and one that repeats a single word.
+    rows += [(100, "same " * 500), (101, "same " * 600), (102, "same " * 10), (103, "a b c d e f"), (104, "A b c d, e f!"), (105, "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = minhash.inverse_frequencies(*minhash.document_frequencies(texts(frame)))
+    want = brute_classes(dict(rows), idf)
+    assert all(want[10 * k + 1] == 10 * k for k in range(5)) and want[101] == 100 and want[102] == 102
+    assert {r.doc_id: r.class_id for r in minhash.classes(frame).collect()} == want
+
+
+def test_samples_agree_as_often_as_the_similarity():
+    """Every sample of documents with weight in few shingles, over many pairs, whatever chunk they are in."""
+    rng, equal, least = np.random.default_rng(5), [], minhash.ROWS * minhash.BANDS
+    assert least == 192
+    for _ in range(60):
+        values, weights = rng.integers(0, 1 << 63, 160).astype(np.uint64), np.round(rng.uniform(1, 9, 160), 4)
+        counts = np.append(np.full(10, 100), np.ones(150, int))
+        sides = [np.append(np.arange(10), np.arange(10, 85)), np.append(np.arange(10), np.arange(85, 160))]
+        total = [(weights[s] * counts[s]).sum() for s in sides]
+        both = (weights[:10] * counts[:10]).sum()
+        keys = [minhash.samples(np.zeros(len(s), int), values[s], weights[s], counts[s], 1)[0] for s in sides]
+        again = minhash.samples(np.repeat([0, 1], 85), values[np.concatenate(sides)], weights[np.concatenate(sides)], counts[np.concatenate(sides)], 2)
+        assert (again == keys).all()
+        equal.append((keys[0] == keys[1]).mean() - (both / (sum(total) - both)) ** minhash.ROWS)
+    assert abs(np.mean(equal)) < 0.04
+
+
 def brute_repeats(docs, size):
     where = defaultdict(set)
     own = {d: words(t) for d, t in docs.items()}

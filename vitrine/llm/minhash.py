@@ -6,10 +6,13 @@ df being the number of documents with the word (of words in one of 2**IDF_BITS h
 Frequencies are taken from words since a shingle's own would let a large group of copies lower
 the weight of all it shares, and would need a table larger than the corpus.
 
-Sampling: ROWS times, shingles fall by another hash into BANDS bins, and a consistent weighted
-sample (shingle, quantised weight) is drawn from each; an empty bin takes the next one's. The
-samples of a bin in all ROWS deals are the key of that band. Two documents agree in a sample
-with a probability of their weighted Jaccard similarity s, so in some band with 1 - (1 - s**ROWS)**BANDS: 0.99994 at 0.8, 0.02 at 0.3.
+Sampling: each occurrence of a shingle is an element of the shingle's weight, so the elements two
+documents share weigh the sum of their minima. An element has a Poisson process of its own, at a
+rate of its weight times BANDS * ROWS, and each point falls into one of as many places by its hash. The
+first point of a document in a place is one consistent weighted sample of all its elements, and
+those of different places are independent; points beyond the time by which all places have one are
+not made. ROWS samples are the key of a band. Two documents agree in a sample with a probability of
+their weighted Jaccard similarity s, so in some band with 1 - (1 - s**ROWS)**BANDS: 0.99994 at 0.8, 0.02 at 0.3.
 
 Classes: documents with the same words are one content (128-bit hash), grouped with partial
 sums. Contents that share a key are a bucket, and its most popular member (whose buckets are
@@ -53,6 +56,11 @@ BANDS, ROWS = 32, 6
 IDF_BITS = 18
 #: When hubs have made classes, buckets of so many members are compared in full.
 SMALL = 64
+#: A document's elements are followed up to a time at which one in e**SPARE has a place without a point; these are followed on.
+SPARE = 3.0
+#: Elements whose points are made at once, and how many points each.
+ELEMENTS = 1 << 18
+_STEPS = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64]
 _SKETCH = "doc_id long, c1 long, c2 long, weight double, keys array<long>"
 
 
@@ -84,8 +92,8 @@ def inverse_frequencies(frequencies: np.ndarray, documents: int) -> np.ndarray:
     return (1 + np.log((documents + 1) / (frequencies + 1))).astype(np.float32)
 
 
-def weighted(chunk: Chunk, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each row: row, hash, weight, in order of row; then all words' hashes and each row's first."""
+def counted(chunk: Chunk, idf: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct shingles of each row: row, hash, weight of one, count, in order of row; then all words' hashes and each row's first."""
     starts, ends, first = chunk.runs(LOWER_WORD)
     words = run_hashes(chunk.data, starts, ends)
     values, at, rows = shingles(words, first, WORDS)
@@ -97,36 +105,62 @@ def weighted(chunk: Chunk, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     order = np.lexsort((values, rows))
     v, r, w = values[order], rows[order], mean[order]
     new = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (r[1:] != r[:-1]))) if len(v) else np.zeros(0, np.int64)
-    return r[new], v[new], w[new] * np.diff(np.append(new, len(v))), words, first
+    return r[new], v[new], w[new], np.diff(np.append(new, len(v))), words, first
 
 
-def samples(rows: np.ndarray, values: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+def weighted(chunk: Chunk, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each row: row, hash, weight, in order of row; then all words' hashes and each row's first."""
+    rows, values, weights, counts, words, first = counted(chunk, idf)
+    return rows, values, weights * counts, words, first
+
+
+def _first_points(place: np.ndarray, elements: np.ndarray, weights: np.ndarray, until: np.ndarray, drawn: np.ndarray, times: np.ndarray) -> None:
+    """Make the points of elements up to a time each, and keep the first of each of BANDS * ROWS places, from ``place`` on."""
+    many = BANDS * ROWS
+    time, made, step = np.zeros(len(elements)), 0, 0
+    while len(elements):
+        size = _STEPS[min(step, len(_STEPS) - 1)]
+        for low in range(0, len(elements), max(1, ELEMENTS // size)):
+            part = slice(low, low + max(1, ELEMENTS // size))
+            points = mix(elements[part, None] + np.arange(made + 1, made + size + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+            gaps = -np.log(((points >> U(24)).astype(np.float64) + 0.5) * (1.0 / (1 << 40)))
+            gaps[:, 0] += time[part]
+            at = np.cumsum(gaps, axis=1)
+            time[part] = at[:, -1]
+            at /= weights[part, None]
+            e, k = np.nonzero(at <= until[part, None])
+            points, at = points[e, k], at[e, k]
+            to = place[part][e] + ((points & U(0xFFFFFF)) % U(many)).astype(np.int64)
+            sooner = np.flatnonzero(at < times[to])
+            points, at, to = points[sooner], at[sooner], to[sooner]
+            np.minimum.at(times, to, at)
+            least = at == times[to]
+            drawn[to[least]] = points[least]
+        more = time <= until * weights
+        place, elements, weights, until, time = place[more], elements[more], weights[more], until[more], time[more]
+        made, step = made + size, step + 1
+
+
+def samples(rows: np.ndarray, values: np.ndarray, weights: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     """The keys of all bands of n rows, in an array of n by BANDS. Rows without a shingle have no meaningful ones."""
-    weights, scale = np.log(weights), 1.0 / (1 << 32)
-    halves = lambda x: (((x >> U(32)).astype(np.float64) + 0.5) * scale, ((x & U(0xFFFFFFFF)).astype(np.float64) + 0.5) * scale)
+    many = BANDS * ROWS
+    copy = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    elements = mix(np.repeat(values, counts) ^ mix(copy.astype(U) + U(0x1000)))
+    rows, weights = np.repeat(rows, counts), np.repeat(weights, counts)
+    total = np.bincount(rows, weights, n)
+    until = (np.log(many) + SPARE) / np.maximum(total, 1e-300)
+    drawn, times = np.zeros(n * many, U), np.full(n * many, np.inf)
+    while len(rows):
+        _first_points(rows * many, elements, weights, until[rows], drawn, times)
+        # A time that left a place empty is doubled. The points up to it are made again, and are the same.
+        wanting = ~np.isfinite(times.reshape(n, many)).all(1)
+        until[wanting] *= 2
+        on = wanting[rows]
+        rows, elements, weights = rows[on], elements[on], weights[on]
+    drawn = drawn.reshape(n, BANDS, ROWS)
     keys = np.tile(mix(np.arange(1, BANDS + 1, dtype=U)), (n, 1))
     for k in range(ROWS):
-        base = mix(values ^ U(0x1000 + k))
-        second = mix(base ^ U(0x2000))
-        third = mix(base ^ U(0x3000))
-        group = rows * BANDS + (third & U(0xFFFFFFFF)).astype(np.int64) % BANDS
-        u1, u2 = halves(base)
-        u3, u4 = halves(second)
-        beta, _ = halves(third)
-        r = -np.log(u1 * u2)
-        t = np.floor(weights / r + beta)
-        # ln a = ln c - ln y - r with ln y = r (t - beta)
-        cost = np.log(-np.log(u3 * u4)) - r * (t - beta + 1)
-        least = np.full(n * BANDS, np.inf)
-        np.minimum.at(least, group, cost)
-        at = np.flatnonzero(cost == least[group])
-        drawn = np.zeros(n * BANDS, U)
-        drawn[group[at]] = mix(values[at] ^ mix(t[at].astype(np.int64).astype(U) + U(k)))
-        drawn = drawn.reshape(n, BANDS)
-        # A bin without a shingle takes the sample of the next one that has some, around the end.
-        place = np.where(np.tile(np.isfinite(least).reshape(n, BANDS), 2), np.arange(2 * BANDS), 4 * BANDS)
-        following = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :BANDS] % BANDS
-        keys = mix(keys ^ np.take_along_axis(drawn, following, 1))
+        keys = mix(keys ^ drawn[:, :, k])
     return keys
 
 
@@ -136,14 +170,14 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, lower=True):
             n = chunk.rows
-            rows, values, weights, words, first = weighted(chunk, idf)
+            rows, values, weights, counts, words, first = counted(chunk, idf)
             none = np.diff(first) == 0
             c1 = run_hashes(words, first[:-1], first[1:]).view(np.int64)
             c2 = run_hashes(mix(words ^ U(0xC2)), first[:-1], first[1:]).view(np.int64)
-            keys = samples(rows, values, weights, n)
+            keys = samples(rows, values, weights, counts, n)
             edges = np.arange(n + 1, dtype=np.int32) * BANDS
             yield pa.RecordBatch.from_arrays(
-                [chunk.batch.column("doc_id"), pa.array(c1, mask=none), pa.array(c2, mask=none), pa.array(np.bincount(rows, weights, n).astype(float)), pa.ListArray.from_arrays(pa.array(edges), pa.array(keys.ravel().view(np.int64)))],
+                [chunk.batch.column("doc_id"), pa.array(c1, mask=none), pa.array(c2, mask=none), pa.array(np.bincount(rows, weights * counts, n).astype(float)), pa.ListArray.from_arrays(pa.array(edges), pa.array(keys.ravel().view(np.int64)))],
                 names=["doc_id", "c1", "c2", "weight", "keys"],
             )
 
