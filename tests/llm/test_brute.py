@@ -245,6 +245,31 @@ def test_repeats(spark, sf, docs, run_rows):
     assert {r.doc_id: covered(r.cut) for r in rows if r.cut} == dict(cut)
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 4])
+def test_repeats_of_a_document_that_repeats_itself(spark, partitions):
+    """The other holder of a passage is in another partition, of a smaller or a greater id."""
+    passage, second = ([f"{p}{i}" for i in range(400)] for p in "pq")
+    fill = lambda d, n: [f"f{d}x{n}y{i}" for i in range(15)]
+    rows = {
+        1: [*fill(1, 0), *passage, *fill(1, 1)],
+        2: [*second, *fill(2, 0), *second, *fill(2, 1), *second],
+        5: [*passage, *fill(5, 0), *passage, *fill(5, 1), *passage, *fill(5, 2)],
+        6: [*fill(6, 0), *passage, *fill(6, 1), *passage],
+        7: [*fill(7, 0), *second],
+        8: [*fill(8, 0), *fill(8, 1) * 9],
+    }
+    rows = {d: " ".join(w) for d, w in rows.items()}
+    repeated, cut = brute_repeats(rows, 50)
+    assert len(repeated[5]) == len(cut[5]) == 1200 and len(repeated[2]) == 1200 and not cut[2]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(list(rows.items()), partitions), "doc_id long, text string")
+    found = suffixes.repeats(frame).collect()
+    covered = lambda spans: {k for s in spans for k in range(s["start"], s["end"])}
+    assert {r.doc_id: covered(r.repeated) for r in found} == dict(repeated)
+    assert {r.doc_id: covered(r.cut) for r in found if r.cut} == {d: c for d, c in cut.items() if c}
+    left = {r.doc_id: r.text for r in suffixes.without_repeats(frame).collect()}
+    assert {d: words(t) for d, t in left.items()} == {d: [w for i, w in enumerate(words(t)) if i not in cut[d]] for d, t in rows.items()}
+
+
 def brute_contaminated(docs, items):
     def bag(w):
         return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()

@@ -11,7 +11,8 @@ window belongs to one suffix, so the result is each word that lies in a window o
 found in another document, and no other.
 
 Suffixes with all windows alike are combined in each chunk before they are dealt, so copies and
-common passages are dealt once a chunk. A run beyond ``RUN_ROWS`` suffixes is not held in a task:
+common passages are dealt once a chunk, but for those of the smallest document there: each of its
+own occurrences is dealt, since another chunk may have the passage in a smaller document. A run beyond ``RUN_ROWS`` suffixes is not held in a task:
 its windows are passed on and grouped by Spark, with partial sums.
 
 Of the documents that share a window, the one of the smallest id keeps it. ``repeats`` lists
@@ -77,15 +78,15 @@ def suffixes(chunk: Chunk, ids: np.ndarray, min_words: int, core: int) -> dict[s
     key, row = whole[lowest[begin]], np.searchsorted(first, lowest[begin], "right") - 1
     doc, at = ids[row], window_at[begin] - first[row]
     short = (windows >> U(32)).astype("<u4")
-    # Combine suffixes with all windows alike: one of the smallest document stays.
+    # Combine suffixes with all windows alike: those of the smallest document stay.
     alike = mix(run_hashes(windows, begin, begin + size) ^ key)
     order = np.lexsort((at, doc, alike))
     edge = np.append(True, alike[order][1:] != alike[order][:-1])
     group = np.cumsum(edge) - 1
     first_doc = doc[order][edge][group]
-    keep = order[edge]
     other = doc[order] != first_doc
-    twice = np.bincount(group, other) > 0
+    keep = order[~other]
+    twice = (np.bincount(group, other) > 0)[group[~other]]
     # The others' windows are known to be repeated, in a smaller document.
     rest = order[other]
     text = short.tobytes()
