@@ -308,6 +308,26 @@ def test_contaminated(spark, sf, docs):
     assert verbatim <= {(r.doc_id, r.item_id) for r in queries.op6_decontaminate(spark, sf).collect()}
 
 
+def test_contaminated_with_heavy_words_changed(spark):
+    """Long items in which one heavy word, as of an address, differs: similar still, but far by SimHash."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    items, docs = {}, {}
+    for k in range(40):
+        own = [word(6) for _ in range(300)]
+        head = [word(5) for _ in range(k % 7)]
+        items[k] = " ".join([*own[:150], word(180), *own[150:]])
+        docs[100 + k] = " ".join([*head, *own[:150], word(180), *own[150:], "and", "behind"])
+    items[50], docs[200] = "same " * 30, "same " * 45 + "other words " * 20
+    expected = brute_contaminated(docs, items)
+    assert len(expected) == 41
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = decontaminate.contaminated(frame, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in rows}
+    assert set(got) == set(expected) and max(r.hamming for r in rows) > 20
+    assert all(abs(got[k][0] - expected[k][0]) < 1e-9 and got[k][1] == expected[k][1] for k in got)
+
+
 def test_sharding_query(spark, sf, docs):
     rows = queries.op7_sharding(spark, sf).collect()
     assert {r.doc_id for r in rows} == set(docs) and len(rows) == len(docs)

@@ -1,15 +1,15 @@
-"""Benchmark decontamination: windows of an item's size, SimHash, Hamming blocks, exact check.
+"""Benchmark decontamination: windows of an item's size, an exact bound, exact check, SimHash distance.
 
 A document's windows of as many words as an item has are compared to the item by their weighted
 word shingles (five words; a shingle weighs as many bytes as its words have; repeated shingles
 count as often as they occur): a window matches if sum of minima / sum of maxima is at least
-``similarity``. For each window a 64-bit SimHash of its weighted shingles is looked up in an
-index of the items of that size. The index splits fingerprints into RADIUS + 1 blocks: of two
-fingerprints within RADIUS bits, at least one block is equal, so every item within the radius
-is found. Those are then compared exactly. Windows without any shingle of an item have
-similarity 0, so only windows around a shared shingle are fingerprinted; that drops nothing.
-
-At similarity 0.8 the expected distance is about 10 bits with a deviation of 3; RADIUS is 20.
+``similarity``. That needs shared shingles of ``similarity`` of the item's weight, so a window that
+has only shingles of less than that in all cannot match. For each item, shingles of just less are left
+out, those that most items have first; windows around any other shingle of the item are looked at. The
+shared weight of such a window, if repeats were not limited by the item's, and its own weight bound
+its similarity from above; windows whose bound reaches ``similarity`` are compared exactly. Neither
+step drops a match, however weight is spread. ``hamming`` is the distance of the 64-bit SimHashes
+of the weighted shingles of the best window and the item; nothing is chosen by it.
 
 Items are taken in blocks of bounded bytes, each against all documents. A task holds one block.
 
@@ -33,11 +33,11 @@ from .pieces import spread
 from .shared import texts
 from .textkit import _BASE, LOWER_WORD, U, Chunk, chunks, mix, run_hashes, shingles
 
-WORDS, SIMILARITY, RADIUS = 5, 0.8, 20
+WORDS, SIMILARITY = 5, 0.8
 BLOCK_BYTES = 16 << 20
-BATCH = 2048
+#: Pairs of an item and a place in a document that are held at once.
+PAIRS = 1 << 20
 _BITS = np.arange(64, dtype=U)
-_CUTS = np.linspace(0, 64, RADIUS + 2).astype(int)
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, similarity double, hamming int"
 
 
@@ -51,38 +51,19 @@ def _fingerprint(sums: np.ndarray) -> np.ndarray:
     return ((sums > 0).astype(U) << _BITS).sum(1, dtype=U)
 
 
-def _blocks(fingerprints: np.ndarray) -> list[np.ndarray]:
-    return [(fingerprints >> U(a)) & U((1 << int(b - a)) - 1) for a, b in zip(_CUTS, _CUTS[1:], strict=False)]
-
-
 @dataclass
 class Group:
-    """The items of one number of words: their fingerprints, the index by blocks, and their shingles."""
+    """The items of one number of words: their fingerprints and their shingles."""
 
     ids: list
     fingerprints: np.ndarray
-    order: list[np.ndarray]
-    sorted: list[np.ndarray]
     vectors: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-    def within(self, fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs (window, item) at most RADIUS bits apart, and their distance."""
-        pairs = []
-        for own, order, known in zip(_blocks(fingerprints), self.order, self.sorted, strict=True):
-            low, high = np.searchsorted(known, own, "left"), np.searchsorted(known, own, "right")
-            item = order[spread(low, high - low)]
-            pairs.append(np.repeat(np.arange(len(own)), high - low) * len(self.ids) + item)
-        pair = np.unique(np.concatenate(pairs))
-        window, item = pair // len(self.ids), pair % len(self.ids)
-        far = np.bitwise_count(fingerprints[window] ^ self.fingerprints[item])
-        near = far <= RADIUS
-        return window[near], item[near], far[near]
-
 
 class Index:
     """One block of items."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], least: float = SIMILARITY):
         batch = pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in items], pa.string())})
         chunk = Chunk(batch, lower=True)
         values, weights, first, word_first = vectors(chunk)
@@ -92,31 +73,60 @@ class Index:
             if n:
                 found.setdefault(n, []).append(i)
         self.groups = {}
+        long: list[tuple[int, int]] = []
         every = [np.zeros(0, U)]
         for n, rows in found.items():
             sums = np.stack([_signs(values[first[i] : first[i + 1]], weights[first[i] : first[i + 1]]).sum(0) for i in rows])
-            prints = _fingerprint(sums)
-            own = _blocks(prints)
-            order = [np.argsort(b, kind="stable") for b in own]
             bags = []
-            for i in rows:
+            for k, i in enumerate(rows):
                 v, at, c = np.unique(values[first[i] : first[i + 1]], return_index=True, return_counts=True)
                 bags.append((v, c, weights[first[i] : first[i + 1]][at]))
                 if n >= WORDS:
+                    long.append((n, k))
                     every.append(v)
-            self.groups[n] = Group([items[i][0] for i in rows], prints, order, [b[o] for b, o in zip(own, order, strict=True)], bags)
-        self.shared = np.unique(np.concatenate(every))
+            self.groups[n] = Group([items[i][0] for i in rows], _fingerprint(sums), bags)
+        # Each item's shingles but those that most items have, of less than ``least`` of its weight.
+        known, common = np.unique(np.concatenate(every), return_counts=True)
+        looked, holder = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for i, (n, k) in enumerate(long):
+            v, c, w = self.groups[n].vectors[k]
+            order = np.lexsort((v, -common[np.searchsorted(known, v)]))
+            left_out = np.cumsum((c * w)[order]) < least * float((c * w).sum()) * (1 - 1e-9)
+            looked.append(v[order][~left_out])
+            holder.append(np.full(len(looked[-1]), i))
+        shingle, item = np.concatenate(looked), np.concatenate(holder)
+        order = np.argsort(shingle, kind="stable")
+        #: The shingles that are looked up, in order, and the item of each: a place in ``long``.
+        self.shared, self.item, self.long = shingle[order], item[order], long
+        self.span = np.array([n - WORDS + 1 for n, _ in long], np.int64)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.shared & U((1 << 20) - 1)).astype(np.int64)] = True
 
     def has(self, values: np.ndarray) -> np.ndarray:
-        """Where an item has the shingle."""
+        """Where an item is looked up by the shingle."""
         at = np.flatnonzero(self.filter[(values & U((1 << 20) - 1)).astype(np.int64)])
         if not len(at):
             return at
         place = np.minimum(np.searchsorted(self.shared, values[at]), len(self.shared) - 1)
         return at[self.shared[place] == values[at]]
 
+    def places(self, values: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Runs (item, first, last) of hits of an item that share windows, in one row; a run may be cut in two."""
+        hits = self.has(values)
+        low, high = np.searchsorted(self.shared, values[hits], "left"), np.searchsorted(self.shared, values[hits], "right")
+        total = np.cumsum(high - low)
+        at = 0
+        while at < len(hits):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+            size = high[at:to] - low[at:to]
+            item, hit = self.item[spread(low[at:to], size)], np.repeat(hits[at:to], size)
+            order = np.lexsort((hit, item))
+            item, hit = item[order], hit[order]
+            begin = np.append(True, (item[1:] != item[:-1]) | (row[hit[1:]] != row[hit[:-1]]) | (np.diff(hit) >= self.span[item[1:]]))
+            end = np.append(begin[1:], True)
+            yield from zip(item[begin].tolist(), hit[begin].tolist(), hit[end].tolist(), strict=True)
+            at = to
+
 
 def vectors(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Shingles and their weights in order, each row's first shingle, each row's first word."""
@@ -145,7 +155,6 @@ def matches(chunk: Chunk, index: Index, least: float) -> dict[tuple[int, int, in
     best: dict[tuple[int, int, int], tuple[float, int, int, int]] = {}
     words = np.diff(word_first)
     row_of_shingle = np.repeat(np.arange(chunk.rows), np.diff(first))
-    hits = index.has(values)
     starts, ends, _ = chunk.runs(LOWER_WORD)
     hashes = None
     for n, group in index.groups.items():
@@ -162,40 +171,30 @@ def matches(chunk: Chunk, index: Index, least: float) -> dict[tuple[int, int, in
                 for s in at[own == v[0]].tolist():
                     r = int(np.searchsorted(word_first, s, "right") - 1)
                     best.setdefault((r, n, i), (-1.0, s - int(word_first[r]), n, 0))
-            continue
-        if not len(hits):
-            continue
-        row = row_of_shingle[hits]
-        # Windows as shingle positions: from first - (n - WORDS) on, inside the row.
-        span = n - WORDS + 1
-        low = np.maximum(hits - span + 1, first[row])
-        high = np.minimum(hits, np.maximum(first[row + 1] - span, first[row]))
-        mark = np.zeros(len(values) + 1, np.int64)
-        ok = low <= high
-        np.add.at(mark, low[ok], 1)
-        np.add.at(mark, high[ok] + 1, -1)
-        begin = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-        for b in range(0, len(begin), BATCH):
-            s = begin[b : b + BATCH]
-            r = row_of_shingle[s]
-            e = np.minimum(s + span, first[r + 1])
-            used = np.zeros(int(e.max() - s[0]) + 1, np.int64)
-            np.add.at(used, s - s[0], 1)
-            np.add.at(used, e - s[0], -1)
-            inside = np.cumsum(used[:-1]) > 0
-            place = np.zeros(len(inside) + 1, np.int64)
-            np.cumsum(inside, out=place[1:])
-            at = np.flatnonzero(inside) + s[0]
-            total = np.zeros((len(at) + 1, 64), np.int64)
-            np.cumsum(_signs(values[at], weights[at]), axis=0, out=total[1:])
-            prints = _fingerprint(total[place[e - s[0]]] - total[place[s - s[0]]])
-            for w, i, far in zip(*map(np.ndarray.tolist, group.within(prints)), strict=True):
-                a, z = int(s[w]), int(e[w])
-                sim = similarity(values[a:z], weights[a:z], group.vectors[i])
-                if sim >= least:
-                    key, got = (int(r[w]), n, i), (-sim, a - int(first[r[w]]), min(n, int(words[r[w]])), far)
-                    if key not in best or got < best[key]:
-                        best[key] = got
+    weight = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(weights, out=weight[1:])
+    for item, hit, last in index.places(values, row_of_shingle):
+        (n, i), span, r = index.long[item], int(index.span[item]), int(row_of_shingle[hit])
+        group, begin, end = index.groups[n], int(first[r]), int(first[r + 1])
+        known, counts, item_weights = bag = group.vectors[i]
+        # Windows start from ``low`` to ``high``; a row of fewer words than the item is one window.
+        low, high = max(hit - span + 1, begin), min(last, max(end - span, begin))
+        to = min(high + span, end)
+        place = np.minimum(np.searchsorted(known, values[low:to]), len(known) - 1)
+        same = np.zeros(to - low + 1, np.int64)
+        np.cumsum(np.where(known[place] == values[low:to], weights[low:to], 0), out=same[1:])
+        s = np.arange(low, high + 1)
+        e = np.minimum(s + span, end)
+        whole = int((counts * item_weights).sum())
+        both = np.minimum(same[e - low] - same[s - low], whole)
+        able = np.flatnonzero(both * (1 + least) >= least * (weight[e] - weight[s] + whole) * (1 - 1e-9))
+        for a, z in zip(s[able].tolist(), e[able].tolist(), strict=True):
+            sim = similarity(values[a:z], weights[a:z], bag)
+            if sim >= least:
+                key, start = (r, n, i), a - begin
+                if key not in best or (-sim, start) < best[key][:2]:
+                    own = _fingerprint(_signs(values[a:z], weights[a:z]).sum(0)[None])[0]
+                    best[key] = (-sim, start, min(n, int(words[r])), int(np.bitwise_count(own ^ group.fingerprints[i])))
     return best
 
 
@@ -204,20 +203,20 @@ def mix_short(total: np.ndarray) -> np.ndarray:
     return mix(total ^ U(0x5555555555555555))
 
 
-def blocks(items: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Index]:
+def blocks(items: DataFrame, least: float = SIMILARITY, item_id: str = "item_id", text: str = "text") -> Iterator[Index]:
     """The items, a block of about BLOCK_BYTES at a time: what a task holds and the driver gathers at once."""
     own = items.select(F.col(item_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).distinct()
     total = own.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-total // BLOCK_BYTES)
     for k in range(n):
         part = own.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()
-        yield Index(sorted(((r.id, r.text) for r in part), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+        yield Index(sorted(((r.id, r.text) for r in part), key=lambda x: (x[0] is None, x[0] or 0, x[1])), least)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The best window of each document and item that match; columns as in SCHEMA."""
     found = None
-    for index in blocks(items):
+    for index in blocks(items, least):
 
         def search(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for chunk in chunks(batches, lower=True):
@@ -235,7 +234,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -
 
 def cleaned(docs: DataFrame, items: DataFrame, least: float = SIMILARITY, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all their columns, that no item matches."""
-    for index in blocks(items):
+    for index in blocks(items, least):
 
         def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for chunk in chunks(batches, text, lower=True):
