@@ -202,6 +202,49 @@ def test_near_duplicates_of_repeated_lines(spark):
     assert {r.doc_id: r.class_id for r in minhash.classes(frame).collect()} == want
 
 
+def test_excerpts_of_one_page_are_not_all_compared(spark, monkeypatch):
+    """Texts that share most of a page, none near another: pairs compared grow as the rows, not their square."""
+    counted, compared = [], minhash.compared
+    monkeypatch.setattr(minhash, "compared", lambda pairs, *rest: counted.append(pairs.count()) or compared(pairs, *rest))
+    page = [[f"p{i}w{j}" for j in range(40)] for i in range(20)]
+    totals = []
+    for n in (40, 160, 640):
+        rng, rows = random.Random(n), []
+        for d in range(n):
+            out = set(rng.sample(range(20), 4))
+            rows.append((d, " ".join([w for i in range(20) if i not in out for w in page[i]] + [f"own{d}x{j}" for j in range(60)])))
+        counted.clear()
+        assert len({r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}) == n
+        totals.append(sum(counted))
+    assert all(t <= 6 * n for t, n in zip(totals, (40, 160, 640), strict=True)), totals
+
+
+def test_excerpts_without_own_text(spark):
+    """Some of them are near each other: the links that a hub does not show are found by what is beyond it."""
+    page = [[f"p{i}w{j}" for j in range(30)] for i in range(12)]
+    rng, rows = random.Random(3), []
+    for d in range(60):
+        out = set(rng.sample(range(12), 3))
+        rows.append((d, " ".join([w for i in range(12) if i not in out for w in page[i]] + [f"own{d}x{j}" for j in range(d % 12)])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = minhash.inverse_frequencies(*minhash.document_frequencies(texts(frame)))
+    want = brute_classes(dict(rows), idf)
+    assert 1 < len(set(want.values())) < 60
+    assert {r.doc_id: r.class_id for r in minhash.classes(frame).collect()} == want
+
+
+def test_near_duplicates_of_repeated_ids(spark, monkeypatch):
+    """Many texts of one id: one text a content is compared, and all are one document."""
+    counted, compared = [], minhash.compared
+    monkeypatch.setattr(minhash, "compared", lambda pairs, *rest: counted.append(pairs.count()) or compared(pairs, *rest))
+    base = [f"w{i}" for i in range(200)]
+    rows = [(d, " ".join([*base[: 195 + k % 5], f"x{d}y{k}"])) for d in (1, 2) for k in range(40)] + [(3, " ".join(base[::-1])), (3, "other words " * 9), (4, " ".join(base[::-1])), (4, " ".join(base[::-1]))]
+    found = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    assert {(r.doc_id, r.class_id) for r in found} == {(1, 1), (2, 1), (3, 3), (4, 3)}
+    assert sum(counted) < 4 * len(rows)
+
+
 def test_samples_agree_as_often_as_the_similarity():
     """Every sample of documents with weight in few shingles, over many pairs, whatever chunk they are in."""
     rng, equal, least = np.random.default_rng(5), [], minhash.ROWS * minhash.BANDS

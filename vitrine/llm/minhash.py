@@ -14,29 +14,31 @@ those of different places are independent; points beyond the time by which all p
 not made. ROWS samples are the key of a band. Two documents agree in a sample with a probability of
 their weighted Jaccard similarity s, so in some band with 1 - (1 - s**ROWS)**BANDS: 0.99994 at 0.8, 0.02 at 0.3.
 
-Classes: documents with the same words are one content (128-bit hash), grouped with partial
-sums. Contents that share a key are a bucket, and its most popular member (whose buckets are
-largest in all) is its hub; members are compared to their hubs only, by exact weighted Jaccard
-similarity of the whole texts. Two members x and y of a bucket that are not both linked to its
-hub h may be linked to each other. If they have no shingle in common that both weigh more in
-than h does, the minima of x and y add up to no more than those of x and h, or of y and h; so
-
-    similarity(x, y) >= s  needs  shared(x, h) and shared(y, h) >= s / (1 + s) * (W(x) + W(y)).
-
-Pairs that meet this (few, where x just misses h) are compared. All others share shingles beyond
-h, of the weight that is missing: members are dealt to new buckets by hub and shingle beyond it.
-Shingles that only one class has beyond h count for nothing there; of the others, rare ones come
-first, and as many of the last as weigh less than what is missing are left out. The same is done
-in the new buckets, as long as a bucket has members of two classes; if it has SMALL members or
-fewer, those of different classes are all compared. So no link is lost, and a group of near copies,
-whether or not they are near each other, is never expanded into its pairs. Links become classes
-by spreading the least id, in joins.
+Classes: documents with the same words are one content (128-bit hash), a node, grouped with partial
+sums. Nodes that share a key are a bucket. First each node is compared to one other, the most
+popular in its buckets (whose buckets are largest in all), by exact weighted Jaccard similarity of
+the whole texts; links become classes, and buckets of one class are done. Of the others, those of
+SMALL nodes or fewer are compared in full, but for pairs of one class. A larger one has its lightest node h
+as its hub, and all its members are compared to the hub only. For members x and y, let G be the
+shingles that weigh more in both than in h. All others give no more to shared(x, y), the sum of
+minima, than to shared(x, h), so shared(x, y) <= shared(x, h) + the weight that x has in G beyond h;
+and y likewise. As similarity(x, y) >= s needs shared(x, y) >= s / (1 + s) * (W(x) + W(y)), x needs
+
+    beyond(x, G) >= missing(x) = s / (1 + s) * (W(x) + max(W(h), s * W(x))) - shared(x, h),
+
+and where that is nothing, x is linked to h, since no member is lighter than h. So members are dealt to
+new buckets by hub and shingle beyond it. Shingles that only one class has there count for nothing;
+of the others, rare ones come first, and as many of the last as weigh less than what is missing are
+left out. The new buckets are treated alike. A hub is lighter than all in its new buckets (of
+equals, of a smaller hash), so this ends, and no link between a pair that shares a key is lost. Nodes are never
+all compared to all, save for buckets of SMALL: a node is compared once in a bucket, however many
+members it has. Links become classes by spreading the least id, in joins.
 
 Words are lower-case runs of a-z, 0-9 and characters beyond ASCII. Defined cases: a text of
 fewer than five words, but one, is one shingle; null and wordless texts are in classes of their
 own; a row without an id has no class and is compared with none; repeated rows are copies; rows
-of one id with different texts are one document in one class; an empty table gives no row;
-other columns are ignored, or carried by ``first_of_each``.
+of one id with different texts are one document, and their classes one class; an empty table gives
+no row; other columns are ignored, or carried by ``first_of_each``.
 """
 
 from __future__ import annotations
@@ -48,14 +50,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import texts, written
+from .shared import dropped, texts, written
 from .textkit import LOWER_WORD, U, Chunk, chunks, mix, row_of, run_hashes, shingles
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 IDF_BITS = 18
-#: When hubs have made classes, buckets of so many members are compared in full.
-SMALL = 64
+#: Buckets of so many members are compared in full.
+SMALL = 8
 #: A document's elements are followed up to a time at which one in e**SPARE has a place without a point; these are followed on.
 SPARE = 3.0
 #: Elements whose points are made at once, and how many points each.
@@ -164,6 +166,16 @@ def samples(rows: np.ndarray, values: np.ndarray, weights: np.ndarray, counts: n
     return keys
 
 
+def contents_of(chunk: Chunk, words: np.ndarray | None = None, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of all of each row's words, and whether it has none."""
+    if words is None:
+        starts, ends, first = chunk.runs(LOWER_WORD)
+        words = run_hashes(chunk.data, starts, ends)
+    c1 = run_hashes(words, first[:-1], first[1:]).view(np.int64)
+    c2 = run_hashes(mix(words ^ U(0xC2)), first[:-1], first[1:]).view(np.int64)
+    return c1, c2, np.diff(first) == 0
+
+
 def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """doc_id, content hash (null without words), total weight and band keys of each document that has an id."""
 
@@ -171,9 +183,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         for chunk in chunks(batches, lower=True):
             n = chunk.rows
             rows, values, weights, counts, words, first = counted(chunk, idf)
-            none = np.diff(first) == 0
-            c1 = run_hashes(words, first[:-1], first[1:]).view(np.int64)
-            c2 = run_hashes(mix(words ^ U(0xC2)), first[:-1], first[1:]).view(np.int64)
+            c1, c2, none = contents_of(chunk, words, first)
             keys = samples(rows, values, weights, counts, n)
             edges = np.arange(n + 1, dtype=np.int32) * BANDS
             yield pa.RecordBatch.from_arrays(
@@ -184,7 +194,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").mapInArrow(sketch, _SKETCH)
 
 
-_COMPARED = "hub long, node long, similarity double, shared double, weight double, hub_weight double, beyond array<long>, extra array<double>"
+_COMPARED = "hub long, node long, wanted boolean, similarity double, shared double, weight double, hub_weight double, beyond array<long>, extra array<double>"
 
 
 def compared(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
@@ -211,6 +221,7 @@ def compared(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, least: float) -
                 [
                     chunk.batch.column("hub"),
                     chunk.batch.column("node"),
+                    chunk.batch.column("wanted"),
                     *map(pa.array, (both / np.maximum(a + b - both, 1e-300), both, b, a)),
                     pa.ListArray.from_arrays(edges, pa.array(vb[more].view(np.int64))),
                     pa.ListArray.from_arrays(edges, pa.array((wb - known)[more])),
@@ -218,13 +229,17 @@ def compared(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, least: float) -
                 names=[f.split()[0] for f in _COMPARED.split(", ")],
             )
 
-    one = pairs.join(docs.select(F.col("doc_id").alias("hub"), F.col("text").alias("text_a")), "hub")
-    two = one.join(docs.select(F.col("doc_id").alias("node"), F.col("text").alias("text_b")), "node")
+    # Merged at any size, as the texts of a large corpus are; a broadcast side would be another plan on small input.
+    one = pairs.join(docs.select(F.col("node").alias("hub"), F.col("text").alias("text_a")).hint("merge"), "hub")
+    two = one.join(docs.select("node", F.col("text").alias("text_b")).hint("merge"), "node")
     return two.select("hub", "node", "wanted", "text_a", "text_b").mapInArrow(compare, _COMPARED)
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """node, component (the least node that links lead to) of the nodes of (a, b) links."""
+    """node, component (the least node that links lead to) of the nodes of (a, b) links.
+
+    Labels jump to their label's label in every round, so rounds are few, about the logarithm of the longest chain.
+    """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other"))
     both = written(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), f"{name}-links")
     labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), name)
@@ -234,127 +249,172 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         step = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("before"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
         moved = written(step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("beyond", "component")).alias("component"), "before"), name)
+        dropped(labels)
         labels = moved.select("node", "component")
         if moved.where("component <> before").isEmpty():
+            dropped(both)
             return labels
 
 
-def _linked(members: DataFrame, docs: DataFrame, idf: np.ndarray, least: float) -> tuple[DataFrame | None, DataFrame | None]:
-    """Links (a, b) and the components they make, for members (key, node, popular) of buckets of two or more."""
-    links = labels = used = seen = None
-    full = 2
-
-    def link(found: DataFrame) -> None:
-        nonlocal links, labels
-        new = found.where(F.col("similarity") >= least).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        ends = written(new.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-        if ends.isEmpty():
-            return
-        # Known classes are the nodes that the new links join.
-        known = ends.withColumn("component", F.col("node"))
-        if labels is not None:
-            known = labels.unionByName(known.join(labels, "node", "left_anti"))
-        known = written(known, "known")
-        of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_own"))
-        joins = new.join(of("a"), "a").join(of("b"), "b").where("a_own <> b_own").select(F.col("a_own").alias("a"), F.col("b_own").alias("b"))
-        groups = components(joins.distinct()).select(F.col("node").alias("component"), F.col("component").alias("joined"))
-        labels = written(known.join(groups, "component", "left").select("node", F.coalesce("joined", "component").alias("component")), "labels")
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The components (node, component) of nodes known before and of those that new links (a, b) join."""
+    ends = written(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    if ends.isEmpty():
+        return labels
+    known = ends.withColumn("component", F.col("node"))
+    if labels is not None:
+        known = labels.unionByName(known.join(labels, "node", "left_anti"))
+    known = written(known, "known")
+    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_own"))
+    joins = links.join(of("a"), "a").join(of("b"), "b").where("a_own <> b_own").select(F.col("a_own").alias("a"), F.col("b_own").alias("b"))
+    groups = components(joins.distinct())
+    joined = groups.select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    result = written(known.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component")), "labels")
+    dropped(ends, known, groups, labels)
+    return result
+
+
+def linked(members: DataFrame, docs: DataFrame, idf: np.ndarray, least: float, labels: DataFrame | None = None, report: dict | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) that were found and the components they make, for members (key, node, weight, popular) of buckets.
+
+    ``labels`` are components known before. ``report`` takes the pairs compared and the rounds.
+    """
+    share = least / (1 + least)
+    links: list[DataFrame] = []
+    seen: list[DataFrame] = []
+    report = {} if report is None else report
+    report |= {"rounds": 0}
 
     def with_class(rows: DataFrame) -> DataFrame:
         if labels is None:
             return rows.withColumn("own", F.col("node"))
         return rows.join(labels, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
 
+    def link(found: DataFrame) -> None:
+        nonlocal labels
+        new = found.where(F.col("similarity") >= least).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+        links.append(new)
+        labels = merged(labels, new)
+
+    # A lighter document of less than ``least`` of the other's weight cannot be similar.
+    alike = lambda a, b: F.least(a, b) >= least * (1 - 1e-9) * F.greatest(a, b)
+    best = members.groupBy("key").agg(F.max(F.struct("popular", "node", "weight")).alias("best"))
+    first = members.join(best, "key").groupBy("node", "weight").agg(F.max("best").alias("best"))
+    first = first.where((F.col("node") != F.col("best.node")) & alike(F.col("weight"), F.col("best.weight")))
+    pairs = written(first.select(F.col("best.node").alias("hub"), "node", F.lit(False).alias("wanted")), "pairs")
+    found = written(compared(pairs, docs, idf, least), "compared")
+    link(found)
+    seen.append(written(found.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")), "seen"))
+    links[0] = written(links[0], "linked")
+    dropped(pairs, found)
+    members = members.select("key", "node", "weight")
     while True:
+        report["rounds"] += 1
         own = with_class(members)
-        fresh = own.withColumn("used", F.lit(False)) if used is None else own.join(used, "node", "left").withColumn("used", F.coalesce("used", F.lit(False)))
-        # The most popular that has not dealt members on, by the least id of equals.
-        best = F.max(F.when(~F.col("used"), F.struct("popular", (-F.col("node")).alias("minus"))))
-        buckets = fresh.groupBy("key").agg(
-            F.min("own").alias("low"), F.max("own").alias("high"), (-best["minus"]).alias("hub"), F.count(F.lit(1)).alias("n")
+        buckets = own.groupBy("key").agg(
+            F.min("own").alias("low"), F.max("own").alias("high"), F.min(F.struct("weight", "node")).alias("hub"), F.count(F.lit(1)).alias("n")
         ).where("low <> high")
-        buckets = written(buckets.select("key", F.when(F.col("n") > full, F.col("hub")).alias("hub")), "buckets")
+        buckets = written(buckets.select("key", F.when(F.col("n") > SMALL, F.col("hub.node")).alias("hub")), "buckets")
         if buckets.isEmpty():
-            return links, labels
-        held = own.join(buckets, "key")
-        pairs = written(held.where("hub IS NOT NULL AND node <> hub").select("hub", "node").distinct().withColumn("wanted", F.lit(True)), "pairs")
-        # In small buckets, and in those of such hubs only, members are compared to each other.
-        hubs = held.where("hub IS NULL").select("key", "node", "own")
-        meet = hubs.join(hubs.select("key", F.col("node").alias("hub"), F.col("own").alias("hub_own")), "key").where("hub < node AND own <> hub_own")
-        meet = meet.select("hub", "node").distinct()
-        if seen is not None:
-            meet = meet.join(seen, ["hub", "node"], "left_anti")
-        pairs = pairs.unionByName(meet.withColumn("wanted", F.lit(False)))
+            break
+        held = written(own.join(buckets, "key"), "held")
+        around = held.where("hub IS NOT NULL AND node <> hub").select("hub", "node").distinct().withColumn("wanted", F.lit(True))
+        small = held.where("hub IS NULL").select("key", "node", "own", "weight")
+        others = small.select("key", F.col("node").alias("hub"), F.col("own").alias("hub_own"), F.col("weight").alias("hub_weight"))
+        meet = small.join(others, "key").where("hub < node AND own <> hub_own").where(alike(F.col("weight"), F.col("hub_weight"))).select("hub", "node").distinct()
+        for before in seen:
+            meet = meet.join(before, ["hub", "node"], "left_anti")
+        pairs = written(around.unionByName(meet.withColumn("wanted", F.lit(False))), "pairs")
         found = written(compared(pairs, docs, idf, least), "compared")
         link(found)
-        both = found.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
-        seen = both if seen is None else seen.unionByName(both)
-        full = SMALL
-        # Hubs whose members are of several classes still, and the least weight of their members.
-        around = with_class(found.join(pairs.where("wanted").select("hub", "node"), ["hub", "node"]))
-        missed = around.groupBy("hub").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.min("weight").alias("lightest")).where("low <> high")
-        missed = written(missed.select("hub", "lightest"), "missed")
-        if missed.isEmpty():
-            return links, labels
-        # Hubs that deal their members on are hubs but once, so this ends.
-        new_hubs = missed.select(F.col("hub").alias("node"), F.lit(True).alias("used"))
-        used = written(new_hubs if used is None else used.unionByName(new_hubs).distinct(), "used")
-        around = around.join(missed, "hub")
-        share = least / (1 + least) - 1e-9
-        one = around.where((F.col("similarity") < least) & (F.col("shared") >= share * (F.col("weight") + F.col("lightest")))).select(
-            "hub", F.col("node").alias("a"), F.col("own").alias("a_own"), F.col("shared").alias("a_shared"), F.col("weight").alias("a_weight")
-        )
-        near = around.join(one, "hub").where((F.col("own") != F.col("a_own")) & (F.least("shared", "a_shared") >= share * (F.col("weight") + F.col("a_weight"))))
-        near = written(near.select(F.least("a", "node").alias("hub"), F.greatest("a", "node").alias("node")).distinct().withColumn("wanted", F.lit(False)), "near")
-        if not near.isEmpty():
-            link(written(compared(near, docs, idf, least), "compared"))
-        # What a pair of different classes must share beyond the hub, at least.
-        missing = share * (F.col("weight") + F.greatest("lightest", least * F.col("weight"))) - F.col("shared")
-        beyond = around.select("hub", "node", "own", missing.alias("missing"), F.explode(F.arrays_zip("beyond", "extra")).alias("one")).select(
-            F.xxhash64("hub", "one.beyond").alias("key"), "hub", "node", "own", "missing", "one.extra"
-        )
+        seen.append(written(found.where("NOT wanted").select("hub", "node"), "seen"))
+        # Hubs whose members are of several classes still; the members are dealt on.
+        around = with_class(found.where("wanted"))
+        mixed = around.groupBy("hub").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("hub")
+        missing = share * (F.col("weight") + F.greatest(F.col("hub_weight"), least * F.col("weight"))) - F.col("shared")
+        beyond = around.join(mixed, "hub").select("hub", "node", "own", "weight", missing.alias("missing"), F.explode(F.arrays_zip("beyond", "extra")).alias("one"))
+        beyond = beyond.select(F.xxhash64("hub", "one.beyond").alias("key"), "hub", "node", "own", "weight", "missing", "one.extra")
         counts = beyond.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
         shared = written(counts.where("low <> high").select("key", "n"), "shared")
         # Each shingle with those after it; a pair's first common shingle is before all its others.
         after = Window.partitionBy("hub", "node").orderBy(F.desc("n"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        first = beyond.join(shared, "key").withColumn("rest", F.sum("extra").over(after)).where("rest >= missing * (1 - 1e-9)")
-        popular = members.select("node", "popular").distinct()
-        members = written(first.select("key", "node").join(popular, "node").select("key", "node", "popular"), "members")
-
-
-def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+        dealt = beyond.join(shared, "key").withColumn("rest", F.sum("extra").over(after)).where("rest >= missing * (1 - 1e-9)")
+        dealt = written(dealt.select("key", "node", "weight"), "members")
+        links[-1] = written(links[-1], "linked")
+        dropped(buckets, held, pairs, found, shared, *([members] if report["rounds"] > 1 else []))
+        members = dealt
+    made = links[0]
+    for more in links[1:]:
+        made = made.unionByName(more)
+    return made, labels
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY, report: dict | None = None) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), links (verified ones of its content to others)."""
     own = texts(docs)
     idf = inverse_frequencies(*document_frequencies(own))
+    # Rows of one id need a text each: their contents are nodes by content, not by id.
+    repeated = not own.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:
+        own = written(own.distinct(), "distinct")
     sketch = written(sketches(own, idf), "sketches")
     contents = written(
-        sketch.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.max("weight").alias("weight"), F.first("keys").alias("keys")), "contents"
+        sketch.where("c1 IS NOT NULL")
+        .groupBy("c1", "c2")
+        .agg(F.min("doc_id").alias("first"), F.max("weight").alias("weight"), F.first("keys").alias("keys"))
+        .withColumn("node", F.col("c1") if repeated else F.col("first")),
+        "contents",
     )
-    keyed = contents.select("node", F.explode("keys").alias("key"))
+    keyed = contents.select("node", "weight", F.explode("keys").alias("key"))
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     met = written(keyed.join(shared, "key"), "met")
-    # Contents of one id are one node; how popular it is adds up over its buckets.
-    popular = met.groupBy("node").agg(F.sum("n").alias("popular"))
-    members = written(met.select("key", "node").join(popular, "node"), "members")
-    # Only texts of documents that share a key are read again.
-    wanted = own.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    links, labels = _linked(members, written(wanted, "wanted"), idf, least)
-    found = contents.select("c1", "c2", "node")
+    members = written(met.join(met.groupBy("node").agg(F.sum("n").alias("popular")), "node").select("key", "node", "weight", "popular"), "members")
+    # Only texts of contents that share a key are read again, one of each.
+    wanted = members.select("node").distinct().join(contents.select("node", "first", "c1"), "node")
+    read = written(_texts_of(own, wanted, repeated), "wanted")
+    labels = merged(None, _same_id(sketch, contents)) if repeated else None
+    links, labels = linked(members, read, idf, least, labels, report)
+    found = contents.select("c1", "c2", "node", "first")
     if labels is None:
-        found = found.select("c1", "c2", F.col("node").alias("class_id"), F.lit(0).cast("long").alias("links"))
+        found = found.select("c1", "c2", F.col("first").alias("class_id"), F.lit(0).cast("long").alias("links"))
     else:
         ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-        found = (
-            found.join(labels, "node", "left").join(ends, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-        )
+        placed = written(found.join(labels, "node", "left").join(ends, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+        least_of = placed.groupBy("component").agg(F.min("first").alias("class_id"))
+        found = placed.join(least_of, "component").select("c1", "c2", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     found = written(found, "classes")
+    dropped(contents, shared, met, members, read, labels)
+    if repeated:
+        sketch = sketches(texts(docs), idf)
     with_words = sketch.where("c1 IS NOT NULL").select("doc_id", "c1", "c2").join(found, ["c1", "c2"]).select("doc_id", "class_id", "links")
     alone = sketch.where("c1 IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
-    none = own.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    none = texts(docs).where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("links"))
     return with_words.unionByName(alone).unionByName(none)
 
 
+def _texts_of(own: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """node and text of each wanted content (node, first, c1)."""
+    found = own.join(wanted.select(F.col("first").alias("doc_id"), "node", "c1").hint("merge"), "doc_id")
+    if not repeated:
+        return found.select("node", "text")
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, lower=True):
+            c1, _, none = contents_of(chunk)
+            keep = (c1 == chunk.batch.column("c1").to_numpy()) & ~none
+            yield chunk.batch.select(["node", "text"]).filter(pa.array(keep))
+
+    # Texts of the same words but other marks are one content: any of them will do.
+    return found.select("node", "text", "c1").mapInArrow(same, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
+
+
+def _same_id(sketch: DataFrame, contents: DataFrame) -> DataFrame:
+    """Links between contents of one id: each to the least of its id."""
+    of = sketch.where("c1 IS NOT NULL").select("doc_id", "c1", "c2").distinct().join(contents.select("c1", "c2", "node"), ["c1", "c2"]).select("doc_id", "node")
+    first = of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("doc_id", "a")
+    return of.join(first, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
 def first_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all their columns, one of each class: its document of the least id.
 

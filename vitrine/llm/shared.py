@@ -38,15 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    root = scratch_root(spark).removeprefix("file://")
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*frames: DataFrame | None) -> None:
+    """Delete the files of tables made by ``written`` that nothing reads any more."""
+    for df in frames:
+        if df is None:
+            continue
+        spark = df.sparkSession
+        root = scratch_root(spark).split(":", 1)[-1].lstrip("/")
+        jvm = spark.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if root in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
