@@ -31,8 +31,8 @@ new buckets by hub and shingle beyond it. Shingles that only one class has there
 of the others, rare ones come first, and as many of the last as weigh less than what is missing are
 left out. The new buckets are treated alike. A hub is lighter than all in its new buckets (of
 equals, of a smaller hash), so this ends, and no link between a pair that shares a key is lost. Nodes are never
-all compared to all, save for buckets of SMALL: a node is compared once in a bucket, however many
-members it has. Links become classes by spreading the least id, in joins.
+all compared to all, save for such small buckets (SMALL, and SMALL_LATER for those that have been dealt on): a
+node is compared once in a bucket, however many members it has. Links become classes by spreading the least id, in joins.
 
 Words are lower-case runs of a-z, 0-9 and characters beyond ASCII. Defined cases: a text of
 fewer than five words, but one, is one shingle; null and wordless texts are in classes of their
@@ -56,8 +56,8 @@ from .textkit import LOWER_WORD, U, Chunk, chunks, mix, row_of, run_hashes, shin
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 IDF_BITS = 18
-#: Buckets of so many members are compared in full.
-SMALL = 8
+#: Buckets of so many members are compared in full, at first and when they have been dealt on.
+SMALL, SMALL_LATER = 8, 64
 #: A document's elements are followed up to a time at which one in e**SPARE has a place without a point; these are followed on.
 SPARE = 3.0
 #: Elements whose points are made at once, and how many points each.
@@ -229,10 +229,10 @@ def compared(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, least: float) -
                 names=[f.split()[0] for f in _COMPARED.split(", ")],
             )
 
-    # Merged at any size, as the texts of a large corpus are; a broadcast side would be another plan on small input.
-    one = pairs.join(docs.select(F.col("node").alias("hub"), F.col("text").alias("text_a")).hint("merge"), "hub")
-    two = one.join(docs.select("node", F.col("text").alias("text_b")).hint("merge"), "node")
-    return two.select("hub", "node", "wanted", "text_a", "text_b").mapInArrow(compare, _COMPARED)
+    # Pairs are numbers: texts meet them where they are read as long as the pairs can be sent there, and only the texts that are compared are dealt.
+    one = pairs.join(docs.select(F.col("node").alias("hub"), F.col("text").alias("text_a")), "hub")
+    two = pairs.select("hub", "node").join(docs.select("node", F.col("text").alias("text_b")), "node")
+    return one.join(two.hint("merge"), ["hub", "node"]).select("hub", "node", "wanted", "text_a", "text_b").mapInArrow(compare, _COMPARED)
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -314,7 +314,7 @@ def linked(members: DataFrame, docs: DataFrame, idf: np.ndarray, least: float, l
         buckets = own.groupBy("key").agg(
             F.min("own").alias("low"), F.max("own").alias("high"), F.min(F.struct("weight", "node")).alias("hub"), F.count(F.lit(1)).alias("n")
         ).where("low <> high")
-        buckets = written(buckets.select("key", F.when(F.col("n") > SMALL, F.col("hub.node")).alias("hub")), "buckets")
+        buckets = written(buckets.select("key", F.when(F.col("n") > (SMALL if report["rounds"] == 1 else SMALL_LATER), F.col("hub.node")).alias("hub")), "buckets")
         if buckets.isEmpty():
             break
         held = written(own.join(buckets, "key"), "held")
@@ -370,8 +370,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY, report: dict | None = No
     met = written(keyed.join(shared, "key"), "met")
     members = written(met.join(met.groupBy("node").agg(F.sum("n").alias("popular")), "node").select("key", "node", "weight", "popular"), "members")
     # Only texts of contents that share a key are read again, one of each.
-    wanted = members.select("node").distinct().join(contents.select("node", "first", "c1"), "node")
-    read = written(_texts_of(own, wanted, repeated), "wanted")
+    nodes = written(members.select("node").distinct(), "nodes")
+    wanted = written(contents.select("node", "first", "c1").join(nodes, "node"), "wanted")
+    read = written(_texts_of(own, wanted, repeated), "texts")
     labels = merged(None, _same_id(sketch, contents)) if repeated else None
     links, labels = linked(members, read, idf, least, labels, report)
     found = contents.select("c1", "c2", "node", "first")
@@ -383,7 +384,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, report: dict | None = No
         least_of = placed.groupBy("component").agg(F.min("first").alias("class_id"))
         found = placed.join(least_of, "component").select("c1", "c2", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     found = written(found, "classes")
-    dropped(contents, shared, met, members, read, labels)
+    dropped(contents, shared, met, members, nodes, wanted, read, labels)
     if repeated:
         sketch = sketches(texts(docs), idf)
     with_words = sketch.where("c1 IS NOT NULL").select("doc_id", "c1", "c2").join(found, ["c1", "c2"]).select("doc_id", "class_id", "links")
@@ -394,7 +395,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, report: dict | None = No
 
 def _texts_of(own: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
     """node and text of each wanted content (node, first, c1)."""
-    found = own.join(wanted.select(F.col("first").alias("doc_id"), "node", "c1").hint("merge"), "doc_id")
+    found = own.join(wanted.select(F.col("first").alias("doc_id"), "node", "c1"), "doc_id")
     if not repeated:
         return found.select("node", "text")
 
