@@ -17,9 +17,9 @@ their weighted Jaccard similarity s, so in some band with 1 - (1 - s**ROWS)**BAN
 Classes: documents with the same words are one content (128-bit hash), a node, grouped with partial
 sums. Nodes that share a key are a bucket. First each node is compared to one other, the most
 popular in its buckets (whose buckets are largest in all), by exact weighted Jaccard similarity of
-the whole texts; links become classes, and buckets of one class are done. Of the others, those of
-SMALL nodes or fewer are compared in full, but for pairs of one class. A larger one has its lightest node h
-as its hub, and all its members are compared to the hub only. For members x and y, let G be the
+the whole texts; links become classes, and buckets of one class are done. Of the others, those with
+PER_MEMBER pairs of different classes a member or fewer have these compared, such as a few texts that just
+miss a large class. Another has its lightest node h as its hub, and all its members are compared to the hub only. For members x and y, let G be the
 shingles that weigh more in both than in h. All others give no more to shared(x, y), the sum of
 minima, than to shared(x, h), so shared(x, y) <= shared(x, h) + the weight that x has in G beyond h;
 and y likewise. As similarity(x, y) >= s needs shared(x, y) >= s / (1 + s) * (W(x) + W(y)), x needs
@@ -30,9 +30,9 @@ and where that is nothing, x is linked to h, since no member is lighter than h.
 new buckets by hub and shingle beyond it. Shingles that only one class has there count for nothing;
 of the others, rare ones come first, and as many of the last as weigh less than what is missing are
 left out. The new buckets are treated alike. A hub is lighter than all in its new buckets (of
-equals, of a smaller hash), so this ends, and no link between a pair that shares a key is lost. Nodes are never
-all compared to all, save for such small buckets (SMALL, and SMALL_LATER for those that have been dealt on): a
-node is compared once in a bucket, however many members it has. Links become classes by spreading the least id, in joins.
+equals, of a smaller hash), so this ends, and no link between a pair that shares a key is lost. The pairs
+compared in a bucket are at most PER_MEMBER times its members (PER_MEMBER_LATER for those that have been dealt
+on), or one a member, however many members it has. Links become classes by spreading the least id, in joins.
 
 Words are lower-case runs of a-z, 0-9 and characters beyond ASCII. Defined cases: a text of
 fewer than five words, but one, is one shingle; null and wordless texts are in classes of their
@@ -56,8 +56,8 @@ from .textkit import LOWER_WORD, U, Chunk, chunks, mix, row_of, run_hashes, shin
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 IDF_BITS = 18
-#: Buckets of so many members are compared in full, at first and when they have been dealt on.
-SMALL, SMALL_LATER = 8, 64
+#: Where there are no more pairs of different classes for each member of a bucket, at first and when it has been dealt on, all are compared.
+PER_MEMBER, PER_MEMBER_LATER = 4, 64
 #: A document's elements are followed up to a time at which one in e**SPARE has a place without a point; these are followed on.
 SPARE = 3.0
 #: Elements whose points are made at once, and how many points each.
@@ -311,17 +311,21 @@ def linked(members: DataFrame, docs: DataFrame, idf: np.ndarray, least: float, l
     while True:
         report["rounds"] += 1
         own = with_class(members)
-        buckets = own.groupBy("key").agg(
-            F.min("own").alias("low"), F.max("own").alias("high"), F.min(F.struct("weight", "node")).alias("hub"), F.count(F.lit(1)).alias("n")
-        ).where("low <> high")
-        buckets = written(buckets.select("key", F.when(F.col("n") > (SMALL if report["rounds"] == 1 else SMALL_LATER), F.col("hub.node")).alias("hub")), "buckets")
+        each = own.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("weight", "node")).alias("hub"))
+        buckets = each.groupBy("key").agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min("hub").alias("hub"), F.max(F.struct("n", "own")).alias("major"), F.count(F.lit(1)).alias("classes")
+        ).where("classes > 1")
+        many = (F.col("n") * F.col("n") - F.col("squares")) / 2 > (PER_MEMBER if report["rounds"] == 1 else PER_MEMBER_LATER) * F.col("n")
+        buckets = written(buckets.select("key", F.when(many, F.col("hub.node")).alias("hub"), F.col("major.own").alias("major")), "buckets")
         if buckets.isEmpty():
             break
         held = written(own.join(buckets, "key"), "held")
         around = held.where("hub IS NOT NULL AND node <> hub").select("hub", "node").distinct().withColumn("wanted", F.lit(True))
-        small = held.where("hub IS NULL").select("key", "node", "own", "weight")
-        others = small.select("key", F.col("node").alias("hub"), F.col("own").alias("hub_own"), F.col("weight").alias("hub_weight"))
-        meet = small.join(others, "key").where("hub < node AND own <> hub_own").where(alike(F.col("weight"), F.col("hub_weight"))).select("hub", "node").distinct()
+        # Those not of the largest class meet all: at most four times as many as the pairs of different classes.
+        small = held.where("hub IS NULL").select("key", "node", "own", "weight", "major")
+        others = small.where("own <> major").select("key", F.col("node").alias("hub"), F.col("own").alias("hub_own"), F.col("weight").alias("hub_weight"))
+        met = small.join(others, "key").where("own <> hub_own").where(alike(F.col("weight"), F.col("hub_weight")))
+        meet = met.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
         for before in seen:
             meet = meet.join(before, ["hub", "node"], "left_anti")
         pairs = written(around.unionByName(meet.withColumn("wanted", F.lit(False))), "pairs")
