@@ -262,6 +262,19 @@ def test_samples_agree_as_often_as_the_similarity():
     assert abs(np.mean(equal)) < 0.04
 
 
+@pytest.mark.parametrize("n", [5, 6, 8, 10, 20, 60])
+def test_recall_by_length(n):
+    """Texts of n shingles and those of them that lack a fifth at most: nearly every pair shares a key."""
+    rng, met = np.random.default_rng(n), []
+    for _ in range(300):
+        values, weights = rng.integers(0, 1 << 63, n).astype(np.uint64), np.round(rng.uniform(4, 9, n), 4)
+        left = n - n // 5
+        if weights[:left].sum() >= 0.8 * weights.sum():
+            a, b = (minhash.samples(np.zeros(k, int), values[:k], weights[:k], np.ones(k, int), 1)[0] for k in (n, left))
+            met.append((a == b).any())
+    assert len(met) > 50 and np.mean(met) >= 0.99
+
+
 def brute_repeats(docs, size):
     where = defaultdict(set)
     own = {d: words(t) for d, t in docs.items()}
@@ -372,12 +385,19 @@ def test_contaminated_with_heavy_words_changed(spark):
 
 
 def test_sharding_query(spark, sf, docs):
+    offers = spark.createDataFrame([(d,) for d in docs], "doc_id long").selectExpr("doc_id", "explode(sequence(0, 16)) AS s")
+    law = defaultdict(list)
+    for r in offers.selectExpr("doc_id", "s", "xxhash64(20240601, string(doc_id), s) AS h").collect():
+        law[r.doc_id].append((r.h, r.s))
+    law = {d: (max(x for x in o if x[1] < 16)[1], max(o)[1]) for d, o in law.items()}
     rows = queries.op7_sharding(spark, sf).collect()
     assert {r.doc_id for r in rows} == set(docs) and len(rows) == len(docs)
     for r in rows:
         data = docs[r.doc_id].encode()
         assert (r.size, r.text_crc32) == (len(data) + 1, zlib.crc32(data))
         assert r.grown_shard in (r.shard, 16)
+        # The law, from the same seeded hash: the highest of 16 offers, and of 17.
+        assert (r.shard, r.grown_shard) == law[r.doc_id]
     for s in range(16):
         slots = sorted((r.slot, r.doc_id) for r in rows if r.shard == s)
         assert [x for x, _ in slots] == list(range(len(slots)))

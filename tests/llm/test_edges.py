@@ -107,6 +107,22 @@ def test_shards(spark, odd_docs, no_docs):
     assert sharding.read_shards(spark, sharding.write_shards(spark, no_docs)).count() == 0
 
 
+def test_shards_of_equal_rows(spark, monkeypatch):
+    """Rows of one id and text are dealt to many buckets by their number, and so in any order of the input."""
+    monkeypatch.setattr(sharding, "EQUAL_ROWS", 20)
+    rows = [(7, "again and again", "k")] * 300 + [(None, None, "k")] * 50 + [(d, f"text {d}", "k") for d in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    dealt = [
+        sorted((r.shard, r.bucket, r.doc_id or -1, r.text or "", r.kind) for r in sharding.shuffled(f, shards=2, bucket_bytes=256, keep=("kind",)).collect())
+        for f in (frame, frame.orderBy("doc_id").repartition(5))
+    ]
+    assert dealt[0] == dealt[1] and len(dealt[0]) == 450
+    assert len({b for _, b, d, _, _ in dealt[0] if d == 7}) > 4
+    found = sharding.read_shards(spark, sharding.write_shards(spark, frame, shards=2, bucket_bytes=256)).collect()
+    for s in range(2):
+        assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "[INST] a [/INST]</s>"), (1, 1, "assistant", None), (1, 1, None, "x<~/s>"), (2, None, "to[/ROLE]ol", "t"), (2, 0, "system", ""), (None, 0, "user", "q"), (3, 0, None, None), (3, 0, None, None)]
     given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'c' AS formatted", "1 AS turns")
@@ -115,6 +131,12 @@ def test_chat(spark):
     assert [tuple(t) for t in found[2].turns] == [("to[/ROLE]ol", "t"), ("system", "")]
     assert found[1].escaped and found[2].escaped and not found[None].escaped
     assert len(found[3].turns) == 2
+    assert found[1].formatted == "[INST] [~INST] a [~/INST]<~/s> [/INST][ROLE][/ROLE][TEXT]x<~~/s>[/TEXT]<s></s>"
+    nameless = spark.createDataFrame([(None, 0, "user", f"q{k % 3}") for k in range(30)], given.select("conv_id", "turn", "role", "text").schema)
+    assert [len(r.turns) for r in chat.format_conversations(nameless).collect()] == [1] * 30
+    long = spark.createDataFrame([(1, 0, "user", "x [INST] y " * 200_000), (1, 1, "assistant", "</s>" * 100_000)], nameless.schema)
+    row = chat.format_conversations(long).first()
+    assert [len(t.text) for t in row.turns] == [2_200_000, 400_000] and row.escaped
     assert chat.format_conversations(given.limit(0)).count() == 0
 
 

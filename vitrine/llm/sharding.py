@@ -2,13 +2,14 @@
 
 Pass 1 scatters the records: the shard is the one of the highest seeded hash of (doc_id, shard),
 so that with one more shard a record stays or goes to the new one; inside its shard a second
-seeded hash deals it to a bucket. There are as many buckets as keep one within ``bucket_bytes``.
-The scatter is one exchange. Pass 2 puts each bucket in a fixed order, shuffles it by Fisher and
+seeded hash, of id and text, deals it to a bucket. There are as many buckets as keep one within
+``bucket_bytes``. The scatter is one exchange. Pass 2 puts each bucket in a fixed order, shuffles it by Fisher and
 Yates (Spark's ``shuffle`` with a seed) and writes it to the shard's folder. A record's slot is
 its place in the bucket after the records of the shard's earlier buckets.
 
-Rows of one doc_id, as they may repeat without bound, are dealt to buckets by their text and
-their place in the input too, so no bucket holds all of them.
+All of it follows from a record's contents, so a task that is run again deals as it did before.
+Records with the same id and text would all meet in one bucket. Where there are more than
+``EQUAL_ROWS`` of them, they are counted first, with partial sums, and dealt by their number.
 
 Defined cases: null text has size 1 and checksum 0; a null doc_id is hashed as such and is an
 ordinary key; repeated rows are all kept; an empty table gives no row; other columns are not
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 from .shared import scratch_path
 
 
+#: Records of one id and text beyond which they are numbered.
+EQUAL_ROWS = 1024
+
+
 def shard_of(doc_id: Column, shards: int, seed: int) -> Column:
     """The shard of the highest hash; ties, of 64-bit hashes, go to the highest shard."""
     key = F.coalesce(doc_id.cast("string"), F.lit("null"))
@@ -30,24 +35,41 @@ def shard_of(doc_id: Column, shards: int, seed: int) -> Column:
     return F.greatest(*offers)["s"] if shards > 1 else F.lit(0)
 
 
-def bucket_count(docs: DataFrame, shards: int, bucket_bytes: int, text: str = "text") -> int:
+def measured(docs: DataFrame) -> tuple[int, int]:
+    """Bytes of all records (a text's and one more), and how many records have one id and text at most."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    equal = docs.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
+    total, most = equal.agg(F.sum("size"), F.max("n")).first()
+    return total or 0, most or 0
+
+
+def bucket_count(total: int, shards: int, bucket_bytes: int) -> int:
     """Buckets a shard: a power of two of at least bytes / (shards * bucket_bytes)."""
-    total = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1)).first()[0] or 0
     return max(1, 1 << max(0, -(-total // (shards * bucket_bytes)) - 1).bit_length())
 
 
+def _numbered(row: DataFrame) -> DataFrame:
+    """``row`` with the column ``copy``: 0, and for each record of more than EQUAL_ROWS equal ones its number among these."""
+    keys = row.groupBy("doc_id", F.xxhash64("text").alias("h")).count().where(F.col("count") > EQUAL_ROWS).select("doc_id", "h", F.lit(True).alias("many"))
+    marked = row.withColumn("h", F.xxhash64("text")).alias("l").join(keys.alias("k"), F.expr("l.doc_id <=> k.doc_id AND l.h = k.h"), "left").select("l.*", "k.many")
+    counted = marked.where("many").groupBy(*row.columns).agg(F.count(F.lit(1)).alias("n"))
+    many = counted.select(*row.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    return marked.where("many IS NULL").select(*row.columns, F.lit(0).cast("long").alias("copy")).unionByName(many)
+
+
 def shuffled(docs: DataFrame, shards: int = 16, seed: int = 20240601, bucket_bytes: int = 4 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """shard, bucket, place in the bucket, doc_id, text and the columns to keep; not yet written."""
-    buckets = bucket_count(docs, shards, bucket_bytes)
     row = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
-        F.monotonically_increasing_id().alias("row"),
         *[F.col(c).alias(f"kept_{c}") for c in keep],
     )
-    fields = [c for c in row.columns if c != "row"]
+    total, most = measured(row.select("doc_id", "text"))
+    buckets = bucket_count(total, shards, bucket_bytes)
+    fields = row.columns
+    row = _numbered(row) if most > EQUAL_ROWS else row.withColumn("copy", F.lit(0).cast("long"))
     dealt = row.withColumn("shard", shard_of(F.col("doc_id"), shards, seed)).withColumn(
-        "bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "row"), F.lit(buckets)).cast("int")
+        "bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text", "copy"), F.lit(buckets)).cast("int")
     )
     # The order before the shuffle: a seeded hash, then all that the row has.
     first = F.xxhash64(F.lit(seed + 2), "doc_id", "text").alias("h")
@@ -65,17 +87,20 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str | None = None
     return folder
 
 
-def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """The written records with their slots: gapless from 0 in each shard.
+def read_shards(spark: SparkSession, folder: str, shown: dict[str, Column] | None = None) -> DataFrame:
+    """The written records, with their slots: gapless from 0 in each shard.
 
-    Only the count of each bucket is gathered for it: buckets are bounded by the data's bytes
-    over ``bucket_bytes``, some hundreds of thousands for 100 TB.
+    ``shown`` names what to read of a record in place of its text; it is computed in the scan, so texts
+    are not dealt again to meet their buckets' counts. These counts are one row a bucket: for 100 TB in
+    buckets of 4 MiB 24 million, 1.5 million for each of 16 shards, summed up in that shard's window.
     """
     rows = spark.read.schema("bucket int, place int, doc_id long, text string, shard int").parquet(folder)
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, ["shard", "bucket"]).withColumn("slot", (F.col("base") + F.col("place")).cast("long")).drop("base")
+    shown = {"text": F.col("text")} if shown is None else shown
+    read = rows.select("doc_id", "shard", "bucket", "place", *[c.alias(n) for n, c in shown.items()])
+    return read.join(bases, ["shard", "bucket"]).withColumn("slot", (F.col("base") + F.col("place")).cast("long")).drop("base")
 
 
 def shard_sizes(rows: DataFrame) -> DataFrame:
