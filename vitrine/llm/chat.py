@@ -7,18 +7,19 @@ A turn is written with the markers of its role:
     system     <<SYS>>text<</SYS>>
     any other  [ROLE]role[/ROLE][TEXT]text[/TEXT]
 
-A conversation is first written as it is and parsed. Where the turns recovered differ from the
-source in any role or text, the texts are written again with a tilde put behind the first
-character of every control string (or of one that already has tildes there), which the parser
-takes out again; this maps texts one to one onto texts without control strings. The written
-form that parses back to the source is the result, and the parse is checked, not assumed.
+Wherever a text or a role holds a control string it is escaped: a tilde is put behind the first
+character of the control string (or of one that already has tildes there), which the parser takes
+out again. This maps texts one to one onto texts without control strings, so no control string in
+the output comes from a text. What holds none is written as it is. The written form is parsed back
+and compared to the source in every role and text; the result is what the parser found, and a
+conversation that differed would stop the job rather than pass: the round trip is checked, not assumed.
 
 Everything is a DataFrame function; a conversation's turns meet in one row, which its single
 formatted string needs in any case.
 
 Defined cases: null text is empty; a null role is the empty role; turns of one conversation
 are ordered by turn (null first), then role, then text, so ties and repeated rows have one
-order; rows with a null conversation id form one conversation. An empty table gives no row.
+order; a row with a null conversation id is a conversation of its own. An empty table gives no row.
 Other columns are ignored.
 """
 
@@ -53,8 +54,8 @@ def rendered(role: Column, text: Column) -> Column:
     )
 
 
-def _written(turns: Column, guard) -> Column:
-    return F.array_join(F.transform(turns, lambda t: rendered(t["role"], guard(t["text"]))), "")
+def _written(turns: Column) -> Column:
+    return F.array_join(F.transform(turns, lambda t: rendered(escaped(t["role"]), escaped(t["text"]))), "")
 
 
 def _raw_turn(turn: Column) -> Column:
@@ -87,7 +88,7 @@ def parsed(formatted: Column) -> Column:
 
 
 def format_conversations(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, formatted, escaped (whether texts had to be), turns as parsed back, and loss_spans.
+    """conv_id, formatted, escaped (whether a text or role was), turns as parsed back, and loss_spans.
 
     loss_spans: start (0-based, in characters of ``formatted``) and length of each assistant text.
     """
@@ -99,15 +100,12 @@ def format_conversations(conversations: DataFrame, conv_id: str = "conv_id", tur
             F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
         ).alias("t"),
     )
-    ordered = source.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t")).select(
-        "conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source")
-    )
-    plain = ordered.withColumn("plain", _written(F.col("source"), lambda x: x))
-    # Role names go through the same escape: a role with a control string needs it as a text does.
-    safe = F.transform("source", lambda t: F.struct(escaped(t["role"]).alias("role"), t["text"].alias("text")))
-    checked = plain.withColumn("same", F.coalesce(parsed(F.col("plain")) == F.col("source"), F.lit(False)))
-    chosen = checked.withColumn("formatted", F.when(F.col("same"), F.col("plain")).otherwise(_written(safe, escaped)))
-    back = chosen.withColumn("cut", _cut(F.col("formatted"))).withColumn("raw", F.transform("cut", _raw_turn))
+    met = source.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    alone = source.where("conv_id IS NULL").select("conv_id", F.array("t").alias("t"))
+    ordered = met.unionByName(alone).select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
+    risky = F.exists("source", lambda t: t["role"].rlike(_PLAIN) | t["text"].rlike(_PLAIN))
+    written = ordered.withColumn("formatted", _written(F.col("source"))).withColumn("escaped", risky)
+    back = written.withColumn("cut", _cut(F.col("formatted"))).withColumn("raw", F.transform("cut", _raw_turn))
     at = F.aggregate(
         F.col("raw"),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
@@ -123,7 +121,7 @@ def format_conversations(conversations: DataFrame, conv_id: str = "conv_id", tur
     result = back.select(
         "conv_id",
         "formatted",
-        (~F.col("same")).alias("escaped"),
+        "escaped",
         F.transform("raw", lambda t: F.struct(t["role"].alias("role"), unescaped(t["text"]).alias("text"))).alias("turns"),
         at.alias("loss_spans"),
         "source",

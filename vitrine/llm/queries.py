@@ -61,16 +61,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards, seed = 16, 20240601
     folder = sharding.write_shards(spark, table(spark, sf_dir, "documents"), shards=shards, seed=seed)
-    rows = sharding.read_shards(spark, folder)
     text = F.coalesce(F.col("text"), F.lit(""))
-    return rows.select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        "shard",
-        "slot",
-        sharding.shard_of(F.col("doc_id"), shards + 1, seed).alias("grown_shard"),
+    shown = {"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(F.encode(text, "UTF-8"))}
+    return sharding.read_shards(spark, folder, shown).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", sharding.shard_of(F.col("doc_id"), shards + 1, seed).alias("grown_shard")
     )
 
 
@@ -149,17 +143,18 @@ SQL = {
             SELECT -1, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(i)
         ), turns AS (
             SELECT *, regexp_matches(text || role, '[<\[]~*(/?s>|<SYS>>|</SYS>>|/?INST\]|/?ROLE\]|/?TEXT\])') AS risky,
-                   regexp_replace(text, '([<\[])(~*)(/?s>|<SYS>>|</SYS>>|/?INST\]|/?ROLE\]|/?TEXT\])', '\1~\2\3', 'g') AS safe
+                   regexp_replace(text, '([<\[])(~*)(/?s>|<SYS>>|</SYS>>|/?INST\]|/?ROLE\]|/?TEXT\])', '\1~\2\3', 'g') AS safe,
+                   regexp_replace(role, '([<\[])(~*)(/?s>|<SYS>>|</SYS>>|/?INST\]|/?ROLE\]|/?TEXT\])', '\1~\2\3', 'g') AS safe_role
             FROM source
         ), marked AS (
-            SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE length(role) + 26 END AS marks FROM turns
+            SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE length(safe_role) + 26 END AS marks FROM turns
         )
         SELECT conv_id,
                count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-               CAST(CASE WHEN bool_or(risky) THEN sum(marks + length(safe)) ELSE sum(marks + length(text)) END AS BIGINT) AS formatted_chars,
+               CAST(sum(marks + length(safe)) AS BIGINT) AS formatted_chars,
                bool_or(risky) AS escaped
         FROM marked GROUP BY conv_id
     """,
