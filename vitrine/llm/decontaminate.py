@@ -11,7 +11,12 @@ its similarity from above; windows whose bound reaches ``similarity`` are compar
 step drops a match, however weight is spread. ``hamming`` is the distance of the 64-bit SimHashes
 of the weighted shingles of the best window and the item; nothing is chosen by it.
 
-Items are taken in blocks of bounded bytes, each against all documents. A task holds one block.
+Why nothing is chosen by it: a window of a similarity of 0.8 can be at any distance, since SimHash follows the
+heaviest shingles, so a radius loses matches; and a radius as wide as the spread of even weights needs
+(20 of 64 bits) blocks of 3 bits, in which most items are candidates of each window. The README has figures.
+
+Items are taken in blocks of bounded bytes, each against all documents. A task and the driver hold one block:
+where there are several, what one finds is written before the next is gathered.
 
 Words are lower-case runs of a-z, 0-9 and characters beyond ASCII. Defined cases: null text
 is empty and matches nothing, on either side; an item of fewer than five words is one shingle;
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import spread
-from .shared import texts
+from .shared import dropped, texts, written
 from .textkit import _BASE, LOWER_WORD, U, Chunk, chunks, mix, run_hashes, shingles
 
 WORDS, SIMILARITY = 5, 0.8
@@ -203,20 +208,20 @@ def mix_short(total: np.ndarray) -> np.ndarray:
     return mix(total ^ U(0x5555555555555555))
 
 
-def blocks(items: DataFrame, least: float = SIMILARITY, item_id: str = "item_id", text: str = "text") -> Iterator[Index]:
-    """The items, a block of about BLOCK_BYTES at a time: what a task holds and the driver gathers at once."""
+def blocks(items: DataFrame, least: float = SIMILARITY, item_id: str = "item_id", text: str = "text") -> Iterator[tuple[Index, bool]]:
+    """The items, a block of about BLOCK_BYTES at a time: what a task holds and the driver gathers at once; and whether it is the only one."""
     own = items.select(F.col(item_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).distinct()
     total = own.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-total // BLOCK_BYTES)
     for k in range(n):
         part = own.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()
-        yield Index(sorted(((r.id, r.text) for r in part), key=lambda x: (x[0] is None, x[0] or 0, x[1])), least)
+        yield Index(sorted(((r.id, r.text) for r in part), key=lambda x: (x[0] is None, x[0] or 0, x[1])), least), n == 1
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The best window of each document and item that match; columns as in SCHEMA."""
     found = None
-    for index in blocks(items, least):
+    for index, only in blocks(items, least):
 
         def search(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for chunk in chunks(batches, lower=True):
@@ -228,13 +233,15 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         part = texts(docs).mapInArrow(search, SCHEMA)
+        part = part if only else written(part, "found")
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], SCHEMA) if found is None else found
 
 
 def cleaned(docs: DataFrame, items: DataFrame, least: float = SIMILARITY, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all their columns, that no item matches."""
-    for index in blocks(items, least):
+    before = None
+    for index, only in blocks(items, least):
 
         def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for chunk in chunks(batches, text, lower=True):
@@ -243,4 +250,8 @@ def cleaned(docs: DataFrame, items: DataFrame, least: float = SIMILARITY, text:
                 yield chunk.batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)
+        if not only:
+            docs = written(docs, "clean")
+            dropped(before)
+            before = docs
     return docs
