@@ -29,6 +29,42 @@ def mixed_tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(latin, F.flatten(own)))
 
 
+#: Words that an index leaves out.
+STOPWORDS = (
+    "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 那 个 之 与 及 等 或 但 而 因为 "
+    "所以 如果 虽然 但是 然而 因此 从而 而且 或者 还是 要么 假如 假设 即使 尽管 不管 无论 不论 不只 不仅 不但 不光 "
+    "产品 商品 这款 这个 那个 什么 怎么 怎样 如何 为什么 多少 几 哪些 哪里 推荐 喜欢 想要 需要 适合 觉得 感觉 "
+    "一下 一些 一点 比较 非常 特别 挺 蛮 还算 大概 大约 左右 差不多 请问 帮忙 帮我 给我 给我找 有没有"
+).split()
+_CJK = r"[\x{4e00}-\x{9fff}]"
+
+
+def search_tokens(text: Column) -> Column:
+    """Tokens of an index in order, with repeats: words of letters, digits and underscores in any
+    script, in lower case; a CJK run gives the run, its bigrams and trigrams, each length once a place. Tokens of
+    one character and stop words are left out.
+    """
+    apart = F.regexp_replace(F.lower(text), f"({_CJK}+)", " $1 ")
+    runs = F.regexp_extract_all(apart, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    grams = lambda r, n: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.length(r) - (n - 1)), lambda i: F.substring(r, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    own = lambda r: F.when(r.rlike(f"^{_CJK}"), F.concat(F.filter(F.array(r), lambda x: F.length(x) > 3), grams(r, 2), grams(r, 3))).otherwise(F.array(r))
+    # Only texts with CJK characters pay for their grams.
+    each = F.when(F.lower(text).rlike(_CJK), F.flatten(F.transform(runs, own))).otherwise(runs)
+    kept = F.filter(each, lambda x: (F.length(x) > 1) & ~x.isin(STOPWORDS))
+    return F.when(F.lower(text).rlike(_CJK), kept).otherwise(F.filter(runs, lambda x: F.length(x) > 1))
+
+
+def search_tokens_sql(text: str) -> str:
+    """The DuckDB expression of ``search_tokens``."""
+    cjk, stop = _CJK, ", ".join(f"'{w}'" for w in STOPWORDS)
+    return (
+        f"list_filter(flatten(list_transform(regexp_extract_all(regexp_replace(lower({text}), '({cjk}+)', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}_]+'), "
+        f"lambda r: CASE WHEN regexp_matches(r, '^{cjk}') THEN list_concat(CASE WHEN length(r) > 3 THEN [r] ELSE [] END, "
+        "list_transform(range(1, length(r)), lambda i: substr(r, i, 2)), list_transform(range(1, greatest(length(r) - 1, 1)), lambda i: substr(r, i, 3))) ELSE [r] END)), "
+        f"lambda t: length(t) > 1 AND t NOT IN ({stop}))"
+    )
+
+
 def haystack(*columns: Column) -> Column:
     """All fields as one lower-case text; arrays are joined by blanks."""
     return F.lower(F.concat_ws(" ", *columns))

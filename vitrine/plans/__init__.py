@@ -1,6 +1,6 @@
 """Registered queries (name to function) and their SQL (name to text)."""
 
-from . import behaviour, commerce, evaluation, filters, language, preparation, retrieval, state, support
+from . import behaviour, catalogue, commerce, evaluation, filters, grounding, language, preparation, retrieval, selection, state, support
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "behaviour", "commerce", "evaluation", "filters", "language", "preparation", "retrieval", "state", "support"]
+__all__ = ["QUERIES", "SQL", "behaviour", "catalogue", "commerce", "evaluation", "filters", "grounding", "language", "preparation", "retrieval", "selection", "state", "support"]

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitrine.functions.text import haystack, hash_number, token_set, tokens
+from vitrine.functions.text import haystack, hash_number, search_tokens, search_tokens_sql, token_set
 from vitrine.operators import ranking, vectors
 from vitrine.session import table
 
 from .registry import query
 
+_TOKENS = search_tokens_sql("text")
 #: SQL of the BM25 scores, as common table expressions.
-BM25_SQL = """
-    tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
-    stats AS (SELECT count(*) AS n_docs, avg(len(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS avgdl FROM documents),
-    dl AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS dl FROM documents),
+BM25_SQL = f"""
+    dtok AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+    tok AS (SELECT doc_id, unnest(t) AS term FROM dtok),
+    stats AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM dtok),
+    dl AS (SELECT doc_id, len(t) AS dl FROM dtok),
     post AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2),
     df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
-    asked AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
+    asked AS (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark),
     bm25 AS (
         SELECT item_id AS query_id, p.doc_id,
                round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5) + 1), 0.25) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
@@ -38,26 +40,28 @@ def _ranked(top: str, score: str, k: int = 10) -> str:
         SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= {k}"""
 
 
-def bm25_scores(spark, sf_dir):
-    return ranking.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+def _scored(spark, sf_dir, pool):
+    return ranking.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", pool)
 
 
-def lexical_scores(spark, sf_dir):
-    return ranking.overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+def _route(scored, name):
+    return scored.where(F.col("route") == name).select("query_id", "doc_id", "score", "rank")
 
 
 def _routes(spark, sf_dir, pool=50):
-    return ranking.top_k(bm25_scores(spark, sf_dir), pool), ranking.top_k(lexical_scores(spark, sf_dir), pool)
+    """Both routes' pools, from one scan."""
+    scored = _scored(spark, sf_dir, pool)
+    return _route(scored, "bm25"), _route(scored, "overlap")
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM bm25_top WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    return ranking.top_k(bm25_scores(spark, sf_dir), 10)
+    return _route(_scored(spark, sf_dir, 10), "bm25")
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM lexical_top WHERE rank <= 10")
 def lexical_document_topk(spark, sf_dir):
-    return ranking.top_k(lexical_scores(spark, sf_dir), 10)
+    return _route(_scored(spark, sf_dir, 10), "overlap")
 
 
 @query(f"""WITH {BM25_SQL}
@@ -73,13 +77,13 @@ def bm25_term_stats(spark, sf_dir):
 @query(f"""WITH {BM25_SQL} SELECT n_docs, (SELECT CAST(sum(dl) AS BIGINT) FROM dl) AS total_len, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS n_terms FROM stats""")
 def bm25_index_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    terms = docs.select(F.explode(tokens(F.col("text"))).alias("term")).agg(F.countDistinct("term").alias("n_terms"))
+    terms = docs.select(F.explode(search_tokens(F.col("text"))).alias("term")).agg(F.countDistinct("term").alias("n_terms"))
     return ranking.index_stats(docs, "doc_id", "text").crossJoin(terms).select("n_docs", "total_len", F.round("avgdl", 6).alias("avgdl"), "n_terms")
 
 
-@query("""
+@query(f"""
     SELECT doc_id, term, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
-    FROM (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents))
+    FROM (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM (SELECT doc_id, {_TOKENS} AS t FROM documents))
     GROUP BY 1, 2""")
 def postings_positions(spark, sf_dir):
     return ranking.postings(table(spark, sf_dir, "documents"), "doc_id", "text", positions=True).select("doc_id", "term", "tf", "positions")
@@ -93,7 +97,7 @@ def incremental_index_delete(spark, sf_dir):
     gone = docs.where("doc_id % 50 = 0").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti")
     stats = F.broadcast(ranking.index_stats(left, "doc_id", "text"))  # one row
-    df = left.select(F.explode(token_set(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = left.select(F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(stats).select("term", "df", F.round(ranking.idf(F.col("n_docs"), F.col("df")), 4).alias("idf"), "n_docs")
 
 
@@ -107,17 +111,27 @@ def incremental_index_delete(spark, sf_dir):
 def lexical_overlap_topk(spark, sf_dir):
     """Products for each query product's name, by shared tokens and substrings.
 
-    Scores are worked out once for each distinct pair of query text and product text, and only
-    the ten least ids of a text can be in a list of ten, so equal products don't multiply.
+    A token of a query that is inside a text is inside one of the text's tokens, so the two vocabularies
+    are matched first, by the parts of each token, and postings are joined by what matched. Scores are worked out once for
+    each distinct pair of query text and product text, and only the ten least ids of a text can be
+    in a list of ten, so equal products don't multiply.
     """
     part = table(spark, sf_dir, "part")
     asked = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.lower("p_name").alias("q"))
     shown = part.select(F.col("p_partkey").alias("doc_id"), haystack(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("hay"), F.lower("p_name").alias("title"))
+    terms = asked.select("q").distinct().select("q", F.explode(token_set(F.col("q"))).alias("term"))
     texts = shown.select("hay", "title").distinct()
-    own = asked.select("q").distinct().withColumn("qt", token_set(F.col("q")))
-    longer = lambda c: F.filter("qt", lambda x: (F.length(x) > 1) & F.contains(F.col(c), x))
-    score = F.size(F.array_intersect("qt", token_set(F.col("hay")))) + 2 * F.size(longer("hay")) + 6 * F.size(longer("title"))
-    scored = texts.crossJoin(own).select("q", "hay", "title", score.cast("double").alias("score")).where("score > 0")
+    in_title = F.array_contains(token_set(F.col("title")), F.col("token"))
+    have = texts.select("hay", "title", F.explode(token_set(F.col("hay"))).alias("token")).select("hay", "title", "token", in_title.alias("in_title"))
+    size = F.length("token")
+    parts = have.select("token").distinct().select("token", F.explode(F.sequence(F.lit(1), size)).alias("i")).select("token", F.explode(F.transform(F.sequence(F.lit(1), size - F.col("i") + 1), lambda n: F.substring("token", F.col("i"), n))).alias("term"))
+    matched = parts.distinct().join(terms.select("term").distinct(), "term")
+    found = have.join(matched, "token").groupBy("hay", "title", "term").agg(
+        F.max((F.col("token") == F.col("term")).cast("int")).alias("same"), F.max(F.col("in_title").cast("int")).alias("in_title")
+    )
+    longer = (F.length("term") > 1).cast("int")
+    points = found.select("hay", "title", "term", (F.col("same") + longer * (2 + 6 * F.col("in_title"))).alias("points")).where("points > 0")
+    scored = points.join(terms, "term").groupBy("q", "hay", "title").agg(F.sum("points").cast("double").alias("score"))
     first = ranking.top_k(shown.select("hay", "title", "doc_id", F.lit(0.0).alias("score")), 10, by="hay").select("hay", "doc_id")
     best = ranking.top_k(scored.join(first, "hay").select("q", "doc_id", "score"), 10, by="q")
     return asked.join(best, "q").select("query_id", "doc_id", "score", "rank")
