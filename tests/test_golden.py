@@ -79,3 +79,61 @@ def test_sources(spark, tmp_path):
     (tmp_path / "log" / "bad.json").write_text("{not json\n")
     assert [tuple(r) for r in sources.read_jsonl_tail(spark, str(tmp_path / "log"), "at long, message string", "at", 1).collect()] == [(2, "y")]
     assert {r.message for r in sources.read_jsonl(spark, str(tmp_path / "log"), "at long, message string").collect()} == {"xxxxx", "y"}
+
+
+def test_zipped_json(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("b.json", json.dumps([{"id": "2"}, {"id": "3"}]))
+        z.writestr("a.json", json.dumps({"id": "1"}))
+        z.writestr("c.txt", "not json")
+    rows = sources.zipped_json(spark, str(tmp_path / "a.zip"), "id string").collect()
+    assert [(r.member, r.id) for r in sorted(rows)] == [("a.json", "1"), ("b.json", "2"), ("b.json", "3")]
+
+
+def test_products_of_a_locale(spark, tmp_path):
+    rows = [("a", "us", 1), ("b", "us", 2), ("c", "de", 3)]
+    spark.createDataFrame(rows, "product_id string, product_locale string, n int").write.parquet(str(tmp_path / "p"))
+    assert {r.n for r in sources.read_products(spark, str(tmp_path / "p"), "us").collect()} == {1, 2}
+    asked = sources.read_products(spark, str(tmp_path / "p"), "us", ["b", "c"])
+    assert [r.n for r in asked.collect()] == [2]
+
+
+def test_index_round_trip(spark, sf, tmp_path):
+    """Written and read again, an index gives the same frequencies; a term's lookup is pushed to the files."""
+    from vitrine.operators import ranking
+    from vitrine.session import table
+
+    index = ranking.postings(table(spark, sf, "documents"), "doc_id", "text")
+    sources.write_index(index, str(tmp_path / "index"))
+    again = sources.read_index(spark, str(tmp_path / "index"))
+    assert again.exceptAll(index.select(*again.columns)).isEmpty() and again.count() == index.count()
+    term = index.groupBy("term").count().orderBy(F.desc("count"), "term").first()
+    assert again.where(F.col("term") == term.term).count() == term["count"]
+
+
+def test_answers(spark):
+    from vitrine.operators import grounding
+
+    row = [("Lamp A", "Acme", 100.0, 3, "Lamp B", "Bolt", 50.0, 0)]
+    cards = spark.createDataFrame(row, "n1 string, b1 string, p1 double, s1 int, n2 string, b2 string, p2 double, s2 int")
+    own = [F.struct(F.col(f"n{i}").alias("name"), F.col(f"b{i}").alias("brand"), F.col(f"p{i}").alias("price"), F.col(f"s{i}").alias("stock")) for i in (1, 2)]
+    tell = lambda text: cards.select(grounding.violations(F.lit(text), own)).first()[0]
+    assert tell("推荐 Lamp A，价格：100，库存 3 件") == []
+    assert tell("推荐 Lamp A，价格：90") == ["price", "ungrounded"]
+    assert tell("Lamp B 还有 2 件") == ["stock"]
+    assert tell("这是好东西") == ["no_product"] and tell("没有找到") == []
+    assert tell("Lamp A 保证好，有优惠券，现货") == ["absolute", "promotion", "business"]
+    cited, invented = grounding.citations(F.lit("【候选1】【候选2】【候选1】【候选7】"), 2)
+    assert tuple(cards.select(cited, invented).first()) == ([1, 2], 1)
+
+
+def test_more_messages(spark):
+    assert one(spark, "改成3", language.quantity) == 3
+    assert one(spark, "buy 4 bottles", language.quantity) == 4
+    assert one(spark, "一百二", language.number) == 102 and one(spark, "百", language.number) == 100 and one(spark, "二三", language.number) is None
+    assert one(spark, "第2款来3件", language.quantity) == 3
+    assert one(spark, "加入购物车，加2个", language.delta) is None
+    assert one(spark, "手机1000元左右", lambda c: F.array(*language.price_bounds(c))) == [800.0, 1200.0]
+    assert one(spark, "不要含酒精的，三星不要了", language.exclusions) == ["酒精", "三星"]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vitrine.plans import QUERIES
 from vitrine.session import table
-from vitrine.streaming import click_rates, expiring_sessions, read_events, request_breakers, too_many_requests, upsert_stream
+from vitrine.streaming import click_rates, expiring_sessions, read_events, read_upserts, request_breakers, too_many_requests, upsert_stream
 
 
 def finished(spark, stream, mode, tmp_path, name):
@@ -49,3 +49,16 @@ def test_upsert(spark, sf, tmp_path):
     query = upsert_stream(feed(spark, sf, tmp_path), str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).select("event_id").distinct().count() == table(spark, sf, "events").count()
+
+
+def test_upsert_keeps_the_last_of_a_key(spark, tmp_path):
+    """A key that comes again in a later batch has that batch's row."""
+    folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    for day, value in ((1, 5.0), (2, 6.0)):
+        rows = [(k, f"2024-01-0{day} 00:00:00", 1, "view", value + k, "{}") for k in (1, 1 + day)]
+        frame = spark.createDataFrame(rows, schema.replace("ts timestamp", "ts string")).withColumn("ts", F.col("ts").cast("timestamp"))
+        frame.write.mode("append").parquet(folder)
+        upsert_stream(spark.readStream.schema(schema).parquet(folder), out, check).awaitTermination(120)
+    got = {r.event_id: r.value for r in read_upserts(spark, out).collect()}
+    assert got == {1: 7.0, 2: 7.0, 3: 9.0}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,25 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     value = F.when(expected == 1, 1.0).otherwise((F.col("observed") - expected) / (1 - expected))
     band = F.when(value < 0.2, "slight").when(value < 0.4, "fair").when(value < 0.6, "moderate").when(value < 0.8, "substantial").otherwise("almost perfect")
     return stats.select("n", F.round("observed", 6).alias("observed"), F.round(expected, 6).alias("expected"), F.round(value, 6).alias("kappa"), band.alias("band"))
+
+
+def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """``by``, n, mean and each named percentile, exact, with linear interpolation.
+
+    Equal values are counted first. A value's place is the count of the whole units before it plus that inside its own
+    unit, so no task holds all values of a group.
+    """
+    counts = rows.groupBy(by, F.floor(value).alias("unit"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    units = counts.groupBy(by, "unit").agg(F.sum("c").alias("in_unit"), F.sum(F.col("c") * F.col("v")).alias("total"))
+    whole = Window.partitionBy(by)
+    before = F.coalesce(F.sum("in_unit").over(whole.orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    units = units.select(by, "unit", before.alias("before"), F.sum("in_unit").over(whole).alias("n"), (F.sum("total").over(whole) / F.sum("in_unit").over(whole)).alias("mean"))
+    inside = F.sum("c").over(Window.partitionBy(by, "unit").orderBy("v"))
+    placed = counts.withColumn("end", inside).join(units, [by, "unit"]).withColumn("end", F.col("before") + F.col("end")).withColumn("start", F.col("end") - F.col("c"))
+    at = lambda place: F.max(F.when((F.col("start") <= place) & (place < F.col("end")), F.col("v")))
+    found = []
+    for name, share in shares.items():
+        place = (F.col("n") - 1) * share
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        found.append(F.round(low + (high - low) * F.max(place - F.floor(place)), 4).alias(name))
+    return placed.groupBy(by).agg(F.max("n").alias("n"), F.round(F.max("mean"), 4).alias("mean"), *found)

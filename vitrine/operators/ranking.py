@@ -44,6 +44,23 @@ def index_stats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
+def frequencies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The index's statistics: df of each term, and n_docs under the term null."""
+    row = docs.select(F.col(doc_id).alias("doc_id"), F.array_distinct(tokens(F.col(text))).alias("all"))
+    # An empty term for each document counts the documents in the same pass.
+    each = row.select(F.explode(F.concat(F.array(F.lit("")), "all")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return each.select(F.when(F.col("term") != "", F.col("term")).alias("term"), "df")
+
+
+def changed(index: DataFrame, gone: DataFrame, new: DataFrame | None, doc_id: str, text: str) -> DataFrame:
+    """term, df and n_docs of an index (``frequencies``) after texts have gone and others have come; terms of no text are dropped."""
+    delta = frequencies(gone, doc_id, text).withColumn("df", -F.col("df"))
+    both = index.unionByName(delta) if new is None else index.unionByName(delta).unionByName(frequencies(new, doc_id, text))
+    total = both.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    count = total.where("term IS NULL").select(F.col("df").alias("n_docs"))
+    return total.where("term IS NOT NULL").crossJoin(F.broadcast(count))  # one row
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.log((n - df + 0.5) / (df + 0.5) + 1), F.lit(EPSILON))
 

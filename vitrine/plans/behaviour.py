@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vitrine.operators import evaluation
 from vitrine.session import table
 
 from .registry import query
@@ -57,9 +58,8 @@ def session_products(spark, sf_dir):
 
 @query("""SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.9), 4) AS p90, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1""")
 def latency_percentiles(spark, sf_dir):
-    """Exact percentiles with linear interpolation."""
-    p = lambda q: F.round(F.percentile("value", q), 4)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"), p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    """Exact percentiles with linear interpolation, by counts of values."""
+    return evaluation.percentiles(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
 @query("""WITH r AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000)

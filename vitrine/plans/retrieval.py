@@ -89,16 +89,33 @@ def postings_positions(spark, sf_dir):
     return ranking.postings(table(spark, sf_dir, "documents"), "doc_id", "text", positions=True).select("doc_id", "term", "tf", "positions")
 
 
+_CHANGED = "(SELECT doc_id, text FROM documents WHERE doc_id % 50 <> 0 UNION ALL SELECT doc_id, source || ' ' || lang || ' replaced text of ' || source FROM documents WHERE doc_id % 100 = 0 UNION ALL SELECT -1 - item_id, text FROM benchmark)"
+
+
+@query(f"""WITH {BM25_SQL.replace('FROM documents', f'FROM {_CHANGED}')}
+    SELECT term, df, round(greatest(ln((n_docs - df + 0.5) / (df + 0.5) + 1), 0.25), 4) AS idf, n_docs FROM df CROSS JOIN stats""")
+def incremental_index(spark, sf_dir):
+    """Document frequencies after documents were deleted, replaced and added.
+
+    The index's frequencies are changed by those of the documents that changed: what the old texts of deleted and
+    replaced ones counted is taken off, what the new texts count is put on. Nothing else is tokenised again.
+    """
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    index = ranking.frequencies(docs, "doc_id", "text")
+    gone = docs.where("doc_id % 50 = 0").select("doc_id", "text")
+    words = F.concat("source", F.lit(" "), "lang", F.lit(" replaced text of "), "source")
+    new = docs.where("doc_id % 100 = 0").select("doc_id", words.alias("text")).unionByName(items.select((-1 - F.col("item_id")).alias("doc_id"), "text"))
+    return ranking.changed(index, gone, new, "doc_id", "text").select("term", "df", F.round(ranking.idf(F.col("n_docs"), F.col("df")), 4).alias("idf"), "n_docs")
+
+
 @query(f"""WITH {BM25_SQL.replace('FROM documents', 'FROM documents WHERE doc_id % 50 <> 0')}
     SELECT term, df, round(greatest(ln((n_docs - df + 0.5) / (df + 0.5) + 1), 0.25), 4) AS idf, n_docs FROM df CROSS JOIN stats""")
 def incremental_index_delete(spark, sf_dir):
-    """Document frequencies after a delete of every document whose id divides by 50."""
+    """Document frequencies after a delete of every document whose id divides by 50: its counts are taken off."""
     docs = table(spark, sf_dir, "documents")
-    gone = docs.where("doc_id % 50 = 0").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
-    stats = F.broadcast(ranking.index_stats(left, "doc_id", "text"))  # one row
-    df = left.select(F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(stats).select("term", "df", F.round(ranking.idf(F.col("n_docs"), F.col("df")), 4).alias("idf"), "n_docs")
+    gone = docs.where("doc_id % 50 = 0").select("doc_id", "text")
+    left = ranking.changed(ranking.frequencies(docs, "doc_id", "text"), gone, None, "doc_id", "text")
+    return left.select("term", "df", F.round(ranking.idf(F.col("n_docs"), F.col("df")), 4).alias("idf"), "n_docs")
 
 
 @query("""
@@ -173,14 +190,29 @@ def max_fusion(spark, sf_dir):
     return ranking.top_k(both.select("query_id", "doc_id", F.round(F.greatest(ranking.clipped(F.col("a") / 50), F.col("b") / (1 + F.col("b"))), 6).alias("score")), 10)
 
 
-@query(_ranked("joined", "round(0.7 * b / (1 + b) + 0.15 / (1 + exp(-a)) + 0.15 / (1 + exp(-b)), 6)"))
+_MODEL = "((doc_id * 7919 + query_id * 104729) % 1000 / 1000.0::DOUBLE)"
+
+
+@query(_ranked("joined", f"round(0.7 * {_MODEL} + 0.15 / (1 + exp(-a)) + 0.15 / (1 + exp(-b)), 6)"))
 def ensemble_score(spark, sf_dir):
-    """Three signals; the model's score is an input column, here the lexical route's b / (1 + b)."""
-    both = ranking.both(*_routes(spark, sf_dir)).withColumn("model", F.col("b") / (1 + F.col("b")))
-    score = 0.7 * F.col("model") + 0.15 * ranking.sigmoid(F.col("a")) + 0.15 * ranking.sigmoid(F.col("b"))
+    """Three signals: a model's score, which is an input column (here a number of the pair), and both routes, squashed."""
+    both = ranking.both(*_routes(spark, sf_dir))
+    score = 0.7 * _model() + 0.15 * ranking.sigmoid(F.col("a")) + 0.15 * ranking.sigmoid(F.col("b"))
+    return ranking.top_k(both.select("query_id", "doc_id", F.round(score, 6).alias("score")), 10)
+
+
+@query(_ranked("joined", f"round(0.6 * {_MODEL} + 0.2 * least(greatest(a / 50, 0), 1) + 0.2 * b / (1 + b), 6)"))
+def light_ensemble_score(spark, sf_dir):
+    """The light variant: the routes are clipped, not squashed."""
+    both = ranking.both(*_routes(spark, sf_dir))
+    score = 0.6 * _model() + 0.2 * ranking.clipped(F.col("a") / 50) + 0.2 * F.col("b") / (1 + F.col("b"))
     return ranking.top_k(both.select("query_id", "doc_id", F.round(score, 6).alias("score")), 10)
 
 
+def _model():
+    return (F.col("doc_id") * 7919 + F.col("query_id") * 104729) % 1000 / 1000.0
+
+
 @query(_ranked("joined", "round(a + b, 6)", 20))
 def raw_sum_candidates(spark, sf_dir):
     """The pool that a model would re-rank: 20 of the largest raw sum of both routes."""

@@ -73,6 +73,11 @@ def write_index(postings: DataFrame, path: str) -> None:
     postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
 
 
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The postings that ``write_index`` wrote; a condition on the term passes over the files and row groups without it."""
+    return spark.read.parquet(path)
+
+
 def zipped_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The JSON members of zip archives, a task for each archive."""
 

@@ -39,13 +39,17 @@ def too_many_requests(events: DataFrame, limit: int, width: str = "60 seconds")
     return own.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def request_breakers(events: DataFrame, failures: int = 3) -> DataFrame:
+def request_breakers(events: DataFrame, failures: int = 3, idle_ms: int = 14 * 86_400_000) -> DataFrame:
     """user_id and event of each opening: ``failures`` errors in a row. The run's length is the state of a user.
 
-    Rows of a micro-batch are ordered by time before they are folded; state is two numbers a user.
+    Rows of a micro-batch are ordered by time before they are folded; state is a number a user, and goes
+    when the watermark is ``idle_ms`` past the user's last event.
     """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         run = state.get[0] if state.exists else 0
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
         opened = []
@@ -54,11 +58,12 @@ def request_breakers(events: DataFrame, failures: int = 3) -> DataFrame:
             if run == failures:
                 opened.append(event_id)
         state.update((run,))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         if opened:
             yield pd.DataFrame({"user_id": [key[0]] * len(opened), "event_id": opened})
 
     return events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(
-        fold, "user_id long, event_id long", "run long", "append", GroupStateTimeout.NoTimeout
+        fold, "user_id long, event_id long", "run long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -73,3 +78,10 @@ def upsert_stream(events: DataFrame, folder: str, checkpoint: str, key: str = "e
         last.select(key, "row.*").write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_upserts(spark: SparkSession, folder: str, key: str = "event_id") -> DataFrame:
+    """What ``upsert_stream`` has written: of each key the row of the last batch that has it."""
+    rows = spark.read.parquet(folder)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "batch").alias("row"))
+    return last.select(key, "row.*").drop("batch")
