@@ -98,15 +98,14 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = fs.FileSystem.from_uri(folder)
         task = TaskContext.get()
-        name = f"{root}/part-{task.partitionId():06d}.warc.gz"
-        # The name starts with "_", so a listing of archives passes over unfinished ones.
-        partial = f"{root}/_part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        # Each attempt has a file of its own; the manifest lists those of the attempts that counted, and only these are read.
+        name = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         out, records, size = None, 0, 0
         try:
             for batch in batches:
                 for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if out is None:
-                        out = where.open_output_stream(partial)
+                        out = where.open_output_stream(name)
                     member = record(page_id, url, html.encode(), refers_to)
                     out.write(member)
                     records += 1
@@ -115,7 +114,6 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
             if out is not None:
                 out.close()
         if out is not None:
-            where.move(partial, name)
             yield pa.RecordBatch.from_pydict({"file": [name], "records": [records], "bytes": [size]})
 
     spark = pages.sparkSession
@@ -139,7 +137,7 @@ class Window:
     """A file's bytes from a place on, read as they are asked for and let go as they are passed."""
 
     def __init__(self, handle, start: int):
-        self.handle, self.base, self.data, self.ended = handle, start, b"", False
+        self.handle, self.base, self.data, self.ended = handle, start, bytearray(), False
 
     def more(self) -> bool:
         if not self.ended:
@@ -151,8 +149,11 @@ class Window:
 
     def pass_to(self, place: int) -> None:
         while place > self.base + len(self.data) and self.more():
-            self.data, self.base = self.data[-1:], self.base + len(self.data) - 1 if self.data else self.base
-        self.data, self.base = self.data[place - self.base :], place
+            passed = max(len(self.data) - 1, 0)
+            del self.data[:passed]
+            self.base += passed
+        del self.data[: place - self.base]
+        self.base = place
 
     def find(self, end: int) -> int:
         """Where the next magic starts before ``end``, or -1."""
@@ -162,7 +163,8 @@ class Window:
                 return self.base + at if self.base + at < end else -1
             keep = len(self.data) - len(MAGIC) + 1
             if keep > 0:
-                self.data, self.base = self.data[keep:], self.base + keep
+                del self.data[:keep]
+                self.base += keep
             if self.base >= end or not self.more():
                 return -1
 
