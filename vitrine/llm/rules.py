@@ -189,7 +189,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, e
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     if eligible is not None:
         chosen = chosen.where(eligible(F.col("doc_id")))
-    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(most)
+    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64(F.lit(17), "doc_id"))
+    # The lowest hashes: a bound that a few more than ``most`` are under, so that no task is sent more of them.
+    share = (most + 6 * most**0.5 + 10) / max(1, chosen.count())
+    if share < 1:
+        chosen = chosen.where(F.col("h") <= F.lit(int(-(2.0**63) + share * 2.0**64)))
+    chosen = chosen.orderBy("h", "doc_id").limit(most).drop("h")
     # At most ``most`` rows of two numbers, whatever the size of the tables.
     return texts(docs).join(F.broadcast(chosen), "doc_id")
 
