@@ -17,6 +17,8 @@ from .textkit import U, run_hashes
 
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 STORED = 1_000_000
+#: Values of all stored pieces, of 4 bytes each.
+VALUES = 16 << 20
 
 
 @functools.cache
@@ -116,8 +118,8 @@ def word_level(cp: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Store:
     """What each distinct piece gives, an array of small integers, by the piece's hash.
 
-    It lives as long as the Python worker and starts afresh when it has STORED pieces, so its
-    memory is bounded; it saves work only and never changes a result.
+    It lives as long as the Python worker and starts afresh when it has STORED pieces or VALUES values, so its
+    memory is bounded but for the pieces of one chunk; it saves work only and never changes a result.
     """
 
     def __init__(self, give):
@@ -131,7 +133,7 @@ class Store:
     def look_up(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each piece where its values begin in self.values, and how many there are."""
         keys, at, back = np.unique(run_hashes(cp, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > STORED:
+        if len(self.keys) > STORED or self.used > VALUES:
             self.clear()
         place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
