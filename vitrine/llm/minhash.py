@@ -229,9 +229,9 @@ def compared(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, least: float) -
                 names=[f.split()[0] for f in _COMPARED.split(", ")],
             )
 
-    # Pairs are numbers: texts meet them where they are read as long as the pairs can be sent there, and only the texts that are compared are dealt.
-    one = pairs.join(docs.select(F.col("node").alias("hub"), F.col("text").alias("text_a")), "hub")
-    two = pairs.select("hub", "node").join(docs.select("node", F.col("text").alias("text_b")), "node")
+    # Merged at any size, as a large corpus needs: with a side that is broadcast while it is small, small inputs would tell nothing of large ones.
+    one = pairs.join(docs.select(F.col("node").alias("hub"), F.col("text").alias("text_a")).hint("merge"), "hub")
+    two = pairs.select("hub", "node").join(docs.select("node", F.col("text").alias("text_b")).hint("merge"), "node")
     return one.join(two.hint("merge"), ["hub", "node"]).select("hub", "node", "wanted", "text_a", "text_b").mapInArrow(compare, _COMPARED)
 
 
@@ -399,7 +399,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, report: dict | None = No
 
 def _texts_of(own: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
     """node and text of each wanted content (node, first, c1)."""
-    found = own.join(wanted.select(F.col("first").alias("doc_id"), "node", "c1"), "doc_id")
+    found = own.join(wanted.select(F.col("first").alias("doc_id"), "node", "c1").hint("merge"), "doc_id")
     if not repeated:
         return found.select("node", "text")
 
