@@ -57,7 +57,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 IDF_BITS = 18
 #: Where there are no more pairs of different classes for each member of a bucket, at first and when it has been dealt on, all are compared.
-PER_MEMBER, PER_MEMBER_LATER = 4, 64
+PER_MEMBER, PER_MEMBER_LATER = 4, 16
 #: A document's elements are followed up to a time at which one in e**SPARE has a place without a point; these are followed on.
 SPARE = 3.0
 #: Elements whose points are made at once, and how many points each.
