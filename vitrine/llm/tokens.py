@@ -20,6 +20,7 @@ import functools
 import json
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +53,11 @@ class PrefixCounter:
         self.ids = {raw(t): k for k, t in enumerate(names)}
         self.ranks = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.ids))
+        # All tokens that end at a byte, the longest first, in one walk over a text, however long its pieces are.
+        self.tokens = ahocorasick.Automaton()
+        for token in self.ids:
+            self.tokens.add_word(token.decode("latin-1"), len(token))
+        self.tokens.make_automaton()
         self.follows: dict[tuple[bytes, bytes], bool] = {}
         self.whole: dict[bytes, bool] = {}
         self.store = pieces.Store(self.give)
@@ -89,21 +95,23 @@ class PrefixCounter:
 
     def byte_counts(self, data: bytes, last: list[bytes], counts: list[int], done: int) -> None:
         """Fill in last token and count of data[:i] for i beyond ``done``; both lists have them up to there."""
-        ids, follows, longest = self.ids, self.follows, self.longest
+        follows = self.follows
         del last[done + 1 :], counts[done + 1 :]
-        for i in range(done + 1, len(data) + 1):
-            for j in range(max(0, i - longest), i):
-                token = data[j:i]
-                if token in ids:
-                    if j:
-                        known = follows.get((last[j], token))
-                        fits = self.may_follow(last[j], token) if known is None else known
-                    else:
-                        fits = self.is_whole(token)
-                    if fits:
-                        last.append(token)
-                        counts.append(counts[j] + 1)
-                        break
+        for end, size in self.tokens.iter(data.decode("latin-1"), max(0, done + 1 - self.longest)):
+            i = end + 1
+            # One token ends at each byte; what else ends there is shorter.
+            if i <= done or len(last) > i:
+                continue
+            j = i - size
+            token = data[j:i]
+            if j:
+                known = follows.get((last[j], token))
+                fits = self.may_follow(last[j], token) if known is None else known
+            else:
+                fits = self.is_whole(token)
+            if fits:
+                last.append(token)
+                counts.append(counts[j] + 1)
 
     def give(self, strings: list[str]) -> list[list[int]]:
         """The counts at every character of each string; in sorted order, strings share the work of common prefixes."""
