@@ -80,14 +80,14 @@ def described_filters(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events), q AS (SELECT user_id, k, count(*) FILTER (event_type = 'view') AS shown, avg(value) FILTER (event_type = 'view') AS latency, count(*) FILTER (event_type = 'click') AS clicks FROM e GROUP BY 1, 2)
-    SELECT k, CAST(sum(shown) AS BIGINT) AS shown, round(avg(latency), 4) AS latency, round(count(*) FILTER (clicks > 0 AND shown > 0) / nullif(count(*) FILTER (shown > 0), 0), 6) AS ctr FROM q GROUP BY 1""")
+    SELECT k, CAST(sum(shown) AS BIGINT) AS shown, round(avg(latency), 6) AS latency, round(count(*) FILTER (clicks > 0 AND shown > 0) / nullif(count(*) FILTER (shown > 0), 0), 6) AS ctr FROM q GROUP BY 1""")
 def query_statistics(spark, sf_dir):
     """Of each query how often it was shown, how long it took, and in what share of its showings to a user it was clicked."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     seen, hit = F.col("event_type") == "view", F.col("event_type") == "click"
     q = e.groupBy("user_id", "k").agg(F.count(F.when(seen, 1)).alias("shown"), F.avg(F.when(seen, F.col("value"))).alias("latency"), F.count(F.when(hit, 1)).alias("clicks"))
     share = F.try_divide(F.count(F.when((F.col("clicks") > 0) & (F.col("shown") > 0), 1)), F.count(F.when(F.col("shown") > 0, 1)))
-    return q.groupBy("k").agg(F.sum("shown").alias("shown"), F.round(F.avg("latency"), 4).alias("latency"), F.round(share, 6).alias("ctr"))
+    return q.groupBy("k").agg(F.sum("shown").alias("shown"), F.round(F.avg("latency"), 6).alias("latency"), F.round(share, 6).alias("ctr"))
 
 
 @query("""SELECT user_id, count(*) AS requests, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate, round(count(*) FILTER (event_type = 'view') / count(*), 6) AS hit_rate, round(avg(value), 4) AS mean,
