@@ -105,7 +105,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
             for batch in batches:
                 for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if out is None:
-                        out = where.open_output_stream(name)
+                        out = where.open_output_stream(name, compression=None)
                     member = record(page_id, url, html.encode(), refers_to)
                     out.write(member)
                     records += 1
