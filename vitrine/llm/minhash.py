@@ -371,7 +371,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, report: dict | None = No
     )
     keyed = contents.select("node", "weight", F.explode("keys").alias("key"))
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    met = written(keyed.join(shared, "key"), "met")
+    met = written(keyed.join(shared.hint("merge"), "key"), "met")
     members = written(met.join(met.groupBy("node").agg(F.sum("n").alias("popular")), "node").select("key", "node", "weight", "popular"), "members")
     # Only texts of contents that share a key are read again, one of each.
     nodes = written(members.select("node").distinct(), "nodes")
@@ -427,7 +427,7 @@ def first_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     found = written(classes(docs, least).where("doc_id IS NOT NULL"), "assigned")
     gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    kept = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
     return kept

@@ -265,7 +265,7 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, core: int = CORE, run_row
     same = hashes.groupBy("h", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most")
     copies = hashes.distinct().join(same, ["h", "h2"]).select("doc", "h", (F.col("doc") == F.col("least")).alias("is_first"))
     places = F.sort_array(F.collect_set("at"))
-    by_text = numbers.join(shared, "key").groupBy("doc", "h").agg(
+    by_text = numbers.join(shared.hint("merge"), "key").groupBy("doc", "h").agg(
         places.alias("all"), F.sort_array(F.collect_set(F.when(F.col("hot"), F.col("at")))).alias("hot"), F.first("n_words").alias("n_words")
     )
     by_text = written(by_text.join(copies, ["doc", "h"], "left"), "places")
@@ -341,7 +341,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, core: int = COR
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     # All of a row in one column, so that no name of it can clash with what is joined.
     given = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
-    both = given.join(cuts.select("doc", "h", "cut"), ["doc", "h"], "left").select("row", F.col("row.text").cast("string").alias("text"), "cut")
+    both = given.join(cuts.select("doc", "h", "cut").hint("merge"), ["doc", "h"], "left").select("row", F.col("row.text").cast("string").alias("text"), "cut")
     schema = docs.schema
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
