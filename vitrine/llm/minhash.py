@@ -342,7 +342,8 @@ def linked(members: DataFrame, docs: DataFrame, idf: np.ndarray, least: float, l
         shared = written(counts.where("low <> high").select("key", "n"), "shared")
         # Each shingle with those after it; a pair's first common shingle is before all its others.
         after = Window.partitionBy("hub", "node").orderBy(F.desc("n"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        dealt = beyond.join(shared, "key").withColumn("rest", F.sum("extra").over(after)).where("rest >= missing * (1 - 1e-9)")
+        # Dealt by member as well, or all members of a hub would be in the task of the hub.
+        dealt = beyond.join(shared, "key").repartition("hub", "node").withColumn("rest", F.sum("extra").over(after)).where("rest >= missing * (1 - 1e-9)")
         dealt = written(dealt.select("key", "node", "weight"), "members")
         links[-1] = written(links[-1], "linked")
         dropped(buckets, held, pairs, found, shared, *([members] if report["rounds"] > 1 else []))
