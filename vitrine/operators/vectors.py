@@ -30,14 +30,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "cosine"
     for b in range(blocks):
         part = queries.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == b).select(item, vector).toArrow()
         ids = part.column(item).to_numpy()
-        asked = np.array(part.column(vector).to_pylist(), float).reshape(len(ids), -1)
+        asked = np.asarray(part.column(vector).combine_chunks().flatten(), float).reshape(len(ids), -1)
 
         def best(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, asked: np.ndarray = asked) -> Iterator[pa.RecordBatch]:
             norms = np.linalg.norm(asked, axis=1)
             kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for batch in batches:
                 own = batch.column(0).to_numpy()
-                data = np.array(batch.column(1).to_pylist(), float).reshape(len(own), -1)
+                data = np.asarray(batch.column(1).flatten(), float).reshape(len(own), -1)
                 if measure == "cosine":
                     size = np.outer(norms, np.linalg.norm(data, axis=1))
                     scores = np.where(size > 0, asked @ data.T / np.where(size > 0, size, 1), 0.0)
