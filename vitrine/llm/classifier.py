@@ -105,7 +105,14 @@ class Model:
 def ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """r of every place."""
     n1, n0 = y.sum(), len(y) - y.sum()
-    count = lambda label: np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v == label]), minlength=1 << BITS)
+
+    def count(label: int) -> np.ndarray:
+        total = np.zeros(1 << BITS, np.int64)
+        for r, v in zip(rows, y, strict=True):
+            if v == label:
+                total[r] += 1
+        return total
+
     return np.log((count(1) + n1 / len(y)) / n1) - np.log((count(0) + n0 / len(y)) / n0)
 
 
@@ -114,10 +121,13 @@ def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: float =
     signs = np.where(y == 1, 1.0, -1.0)
     # Either class has the same cost in all.
     most = cost * np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-    scaled = []
-    for found in rows:
-        x = r[found]
-        scaled.append(x / (np.sqrt(x @ x) or 1.0))
+    # All rows' values are in one array, which goes back to the system as a whole.
+    edges = np.cumsum([0, *map(len, rows)])
+    values = np.empty(edges[-1])
+    scaled = [values[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    for found, x in zip(rows, scaled, strict=True):
+        x[:] = r[found]
+        x /= np.sqrt(x @ x) or 1.0
     w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(y))
     random = np.random.default_rng(seed)
     for _ in range(rounds):
@@ -192,10 +202,13 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", most: in
             found = [f.astype("<i4").tobytes() for f in by_row(chunk)]
             yield pa.RecordBatch.from_arrays([chunk.batch.column("doc_id"), pa.array(found, pa.binary()), chunk.batch.column("label")], names=["doc_id", "places", "label"])
 
-    rows = labelled_sample(docs, labels, label, most, eligible).mapInArrow(gather, "doc_id long, places binary, label int").collect()
+    rows = labelled_sample(docs, labels, label, most, eligible).mapInArrow(gather, "doc_id long, places binary, label int").toArrow().combine_chunks()
     # By hash, so that a fold is no stretch of ids.
-    order = np.argsort(mix(np.array([r.doc_id for r in rows], np.int64).astype(U)), kind="stable") if rows else []
-    return fit([np.frombuffer(rows[i].places, "<i4") for i in order], np.array([rows[i].label for i in order], float))
+    ids, y = rows.column("doc_id").to_numpy().astype(np.int64), rows.column("label").to_numpy().astype(float)
+    order = np.argsort(mix(ids.astype(U)), kind="stable")
+    # Views of the gathered table: the places of the sample are in the driver's memory once.
+    found = [np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("places")]
+    return fit([found[i] for i in order], y[order])
 
 
 def scored(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
