@@ -9,7 +9,7 @@ from vitrine.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "benchmark", "labels"):
+    for t in ("documents", "pages", "conversations", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = queries.QUERIES[name](spark, sf).toPandas()
     want = con.execute(queries.SQL[name]).df()[list(got.columns)]

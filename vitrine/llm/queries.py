@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.session import table
 
-from . import chat, classifier, decontaminate, minhash, packing, rules, sharding, suffixes, tokens, warc
+from . import bytepairs, chat, classifier, decontaminate, divergence, minhash, packing, rules, sharding, suffixes, tokens, vectorcodes, warc
 from .shared import scratch_path
 
 
@@ -88,6 +88,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op11_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectorcodes.compressed(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    digest = F.lit(vectorcodes.books_sha256(books))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"), min_docs=30, top=50).select("lang", "source", "part", "item", "value", "rank")
+
+
+def op13_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer("byte_bpe_50k.tiktoken")
+    coded = bytepairs.decoded(bytepairs.encoded(table(spark, sf_dir, "documents"), ranks), ranks)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -99,6 +115,9 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_classifier": op9_classifier,
     "op10_token_counts": op10_token_counts,
+    "op11_vectorcodes": op11_vectorcodes,
+    "op12_divergence": op12_divergence,
+    "op13_bytepairs": op13_bytepairs,
 }
 
 SQL = {
@@ -158,4 +177,65 @@ SQL = {
                bool_or(risky) AS escaped
         FROM marked GROUP BY conv_id
     """,
+    "op11_vectorcodes": """
+        WITH v AS (
+            SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 256) AS BIGINT)) AS x
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), part AS (
+            SELECT k, vec_id, label, p, list_slice(x, p * (len(x) // 16) + 1, (p + 1) * (len(x) // 16)) AS x FROM v, (SELECT unnest(range(16)) AS p)
+        ), book0 AS (
+            SELECT p, k - 1 AS e, x FROM part WHERE k <= 64
+        ), near0 AS (
+            SELECT part.k, part.p, arg_min(book0.e, (list_sum(list_transform(list_zip(part.x, book0.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), book0.e)) AS e FROM part JOIN book0 USING (p) GROUP BY 1, 2
+        ), flat AS (
+            SELECT k, p, unnest(x) AS c, generate_subscripts(x, 1) AS j FROM part
+        ), mean0 AS (
+            SELECT p, e, list(m ORDER BY j) AS x FROM (SELECT near0.p, e, j, CAST(floor(sum(c) / count(*)) AS BIGINT) AS m FROM near0 JOIN flat USING (k, p) GROUP BY 1, 2, 3) GROUP BY 1, 2
+        ), book1 AS (
+            SELECT p, e, coalesce(mean0.x, book0.x) AS x FROM book0 LEFT JOIN mean0 USING (p, e)
+        ), near1 AS (
+            SELECT part.k, part.p, arg_min(book1.e, (list_sum(list_transform(list_zip(part.x, book1.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), book1.e)) AS e FROM part JOIN book1 USING (p) GROUP BY 1, 2
+        ), mean1 AS (
+            SELECT p, e, list(m ORDER BY j) AS x FROM (SELECT near1.p, e, j, CAST(floor(sum(c) / count(*)) AS BIGINT) AS m FROM near1 JOIN flat USING (k, p) GROUP BY 1, 2, 3) GROUP BY 1, 2
+        ), book2 AS (
+            SELECT p, e, coalesce(mean1.x, book1.x) AS x FROM book1 LEFT JOIN mean1 USING (p, e)
+        ), near2 AS (
+            SELECT part.k, part.p, min((list_sum(list_transform(list_zip(part.x, book2.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), book2.e)) AS best FROM part JOIN book2 USING (p) GROUP BY 1, 2
+        ), coded AS (
+            SELECT k, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM near2 GROUP BY 1
+        ), digest AS (
+            SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM v JOIN coded USING (k), digest
+    """,
+    "op12_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found
+            FROM documents
+        ), w AS (SELECT row_id, lang, source, unnest(found) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY 1, 2 HAVING count(DISTINCT row_id) >= 30),
+        n AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT lang, count(*) AS v, sum(total)::HUGEINT AS total FROM kept GROUP BY 1),
+        gn AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM n GROUP BY 1, 2),
+        p AS (
+            SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS n,
+                   1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 5)) // (coalesce(gn.total, 0) + 5 * v.v) AS p,
+                   1 + (1000000000::HUGEINT * (kept.total + 5)) // (v.total + 5 * v.v) AS q
+            FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source
+            LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term
+        ), pair AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN (SELECT x.lang, x.source AS x, y.source AS y, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y USING (lang, term) GROUP BY 1, 2, 3) s
+            ON s.lang = a.lang AND s.x = a.source AND s.y = b.source
+        ), top AS (
+            SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM top)
+        )
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
 }
