@@ -34,12 +34,6 @@ def shipping(subtotal: Column) -> Column:
     return F.when(subtotal >= FREE_SHIPPING, 0.0).otherwise(SHIPPING)
 
 
-def running_within(rows: DataFrame, key: str, order: list[Column], amount: str, available: str) -> DataFrame:
-    """Rows in order while their running sum stays within what is available; others are marked."""
-    window = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(amount).over(window)).withColumn("accepted", F.col("running") <= F.col(available))
-
-
 @dataclass(frozen=True)
 class Slot:
     label: str

@@ -173,21 +173,15 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def rrf(*ranked: DataFrame) -> DataFrame:
-    """query_id, doc_id, score: the sum over the lists of 1 / (60 + rank)."""
-    union = ranked[0].select("query_id", "doc_id", "rank")
-    for other in ranked[1:]:
-        union = union.unionByName(other.select("query_id", "doc_id", "rank"))
-    return union.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (F.lit(RRF_K) + F.col("rank"))), 6).alias("score"))
-
-
-def both(a: DataFrame, b: DataFrame) -> DataFrame:
-    """query_id, doc_id, a, b: two scored lists, a missing score is 0."""
-    return (
-        a.select("query_id", "doc_id", F.col("score").alias("a"))
-        .join(b.select("query_id", "doc_id", F.col("score").alias("b")), ["query_id", "doc_id"], "full")
-        .select("query_id", "doc_id", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
-    )
+def rrf(ranked: DataFrame) -> DataFrame:
+    """query_id, doc_id, score: the sum over a document's places in the routes' lists of 1 / (60 + rank)."""
+    return ranked.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (F.lit(RRF_K) + F.col("rank"))), 6).alias("score"))
+
+
+def both(ranked: DataFrame) -> DataFrame:
+    """query_id, doc_id, a, b: the scores of both routes in one aggregate over ``scored``, a missing score is 0."""
+    of = lambda route: F.coalesce(F.max(F.when(F.col("route") == route, F.col("score"))), F.lit(0.0))
+    return ranked.groupBy("query_id", "doc_id").agg(of("bm25").alias("a"), of("overlap").alias("b"))
 
 
 def sigmoid(x: Column) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries (name to function) and their SQL (name to text)."""
 
-from . import behaviour, catalogue, commerce, evaluation, filters, grounding, language, planning, preparation, presentation, retrieval, selection, state, support
+from . import behaviour, catalogue, commerce, evaluation, filters, grounding, language, orders, planning, preparation, presentation, retrieval, selection, state, support
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "behaviour", "catalogue", "commerce", "evaluation", "filters", "grounding", "language", "planning", "preparation", "presentation", "retrieval", "selection", "state", "support"]
+__all__ = ["QUERIES", "SQL", "behaviour", "catalogue", "commerce", "evaluation", "filters", "grounding", "language", "orders", "planning", "preparation", "presentation", "retrieval", "selection", "state", "support"]

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import hash_number, stable_bucket
-from vitrine.operators import commerce
+from vitrine.operators import commerce, orders
 from vitrine.operators.filters import first_wins
 from vitrine.session import table
 
@@ -161,14 +161,17 @@ def idempotent_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(idem.alias("idem")).agg(F.min("o_orderkey").alias("order_id"), (F.count(F.lit(1)) - 1).alias("repeats"))
 
 
-@query("""WITH q AS (SELECT l_partkey AS sku, l_orderkey, l_linenumber, l_quantity, sum(l_quantity) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS running FROM lineitem)
-    SELECT sku, count(*) FILTER (running <= 300) AS accepted, count(*) FILTER (running > 300) AS refused, CAST(coalesce(max(running) FILTER (running <= 300), 0) AS BIGINT) AS reserved FROM q GROUP BY 1""")
+@query("""WITH RECURSIVE q AS (SELECT l_partkey AS sku, sum(l_quantity) AS n, row_number() OVER (PARTITION BY l_partkey ORDER BY CAST(min(l_shipdate) AS DATE), l_orderkey) AS k FROM lineitem GROUP BY l_partkey, l_orderkey),
+    r AS (SELECT sku, 0 AS k, false AS taken, 0.0::DOUBLE AS held FROM (SELECT DISTINCT sku FROM q)
+          UNION ALL SELECT q.sku, r.k + 1, held + n <= 300, CASE WHEN held + n <= 300 THEN held + n ELSE held END FROM r JOIN q ON q.sku = r.sku AND q.k = r.k + 1)
+    SELECT sku, count(*) FILTER (taken) AS accepted, count(*) FILTER (k > 0 AND NOT taken) AS refused, CAST(max(held) AS BIGINT) AS reserved FROM r GROUP BY 1""")
 def stock_reservation(spark, sf_dir):
-    """Reservations in order while the running quantity is within 300 pieces."""
-    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "sku").withColumn("available", F.lit(300.0))
-    order = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_suppkey", "l_extendedprice")]
-    own = commerce.running_within(rows, "sku", order, "l_quantity", "available")
-    return own.groupBy("sku").agg(F.count(F.when(F.col("accepted"), 1)).alias("accepted"), F.count(F.when(~F.col("accepted"), 1)).alias("refused"), F.coalesce(F.max(F.when(F.col("accepted"), F.col("running"))), F.lit(0.0)).cast("long").alias("reserved"))
+    """Reservations of an order for a product, by their day: taken while 300 pieces last; a refused one takes nothing."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey").agg(F.sum("l_quantity").cast("long").alias("quantity"), F.min(F.col("l_shipdate").cast("date")).alias("at"))
+    asked = rows.select(F.struct("l_orderkey", "l_partkey").alias("order_id"), "at", F.lit(None).cast("date").alias("gone_at"), F.col("l_partkey").alias("sku"), "quantity")
+    answers = orders.admitted(asked, asked.select("sku").distinct().withColumn("available", F.lit(300)))
+    own = asked.join(answers, "order_id").groupBy("sku")
+    return own.agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("refused"), F.coalesce(F.sum(F.when(F.col("accepted"), F.col("quantity"))), F.lit(0)).alias("reserved"))
 
 
 @query("""WITH item AS (SELECT o_custkey AS owner, l_partkey AS sku, o_orderstatus AS s, sum(l_quantity) AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus IN ('P', 'O') GROUP BY 1, 2, 3)

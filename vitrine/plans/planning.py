@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import text as t
-from vitrine.operators import grounding
+from vitrine.operators import grounding, orders
 from vitrine.operators import language as nlu
 from vitrine.session import table
 
 from . import grounding as answers_of
 from .language import _MSG_SQL, messages
+from .orders import fold_sql
 from .registry import query
 
 _VAGUE = "(length(trim(message)) < 3 OR regexp_matches(trim(message), '^[0-9\\s]+$'))"
@@ -99,18 +100,19 @@ def cart_targets(spark, sf_dir):
     return own.select("l_orderkey", target.alias("target"), F.when(index, "index").when(by_text, "text").when(last, "last").when(sole, "sole").otherwise("ask").alias("by"))
 
 
-@query("""WITH req AS (SELECT o_orderkey, o_custkey || '-' || CAST(o_orderdate AS DATE) AS key, o_custkey FROM orders), first AS (SELECT * FROM req QUALIFY row_number() OVER (PARTITION BY key ORDER BY o_orderkey) = 1),
-    line AS (SELECT o_orderkey, o_custkey, l_partkey, sum(l_quantity) AS q, sum(l_extendedprice) AS amount FROM first JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
-    run AS (SELECT *, sum(q) OVER (PARTITION BY l_partkey ORDER BY o_orderkey) AS taken FROM line),
-    ok AS (SELECT o_orderkey, o_custkey, bool_and(taken <= 400) AS in_stock, sum(amount) AS amount FROM run GROUP BY 1, 2)
+@query(f"""WITH RECURSIVE req AS (SELECT o_orderkey, o_custkey || '-' || CAST(o_orderdate AS DATE) AS key, o_custkey FROM orders), first AS (SELECT * FROM req QUALIFY row_number() OVER (PARTITION BY key ORDER BY o_orderkey) = 1),
+    line AS (SELECT o_orderkey, o_custkey, l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q, sum(l_extendedprice) AS amount FROM first JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+    moves AS (SELECT o_orderkey AS o, o_orderkey // 1000 AS day, 0 AS step, list({{'sku': l_partkey, 'q': q}}) AS items FROM line GROUP BY 1, 2), {fold_sql(400)},
+    ok AS (SELECT o_orderkey, o_custkey, taken AS in_stock, sum(amount) AS amount FROM line JOIN answer ON o = o_orderkey GROUP BY 1, 2, 3)
     SELECT o_orderkey, in_stock, round(amount, 2) AS amount, CASE WHEN in_stock AND o_custkey % 3 = 0 AND amount >= 1000 THEN 50.0 ELSE 0.0 END AS coupon, round(CASE WHEN in_stock THEN amount - CASE WHEN o_custkey % 3 = 0 AND amount >= 1000 THEN 50 ELSE 0 END ELSE 0 END, 2) AS total FROM ok""")
 def created_orders(spark, sf_dir):
-    """Orders as requests: one of each key, lines reserved while stock lasts in order of the requests, a coupon frozen, the total."""
+    """Orders as requests: one of each key, taken in order if all their products are left (a refused one takes nothing), a coupon frozen, the total."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.concat_ws("-", "o_custkey", F.col("o_orderdate").cast("date")).alias("key"))
     first = o.groupBy("key").agg(F.min("o_orderkey").alias("o_orderkey"), F.min("o_custkey").alias("o_custkey")).drop("key")
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("amount"))
-    run = first.join(lines, "o_orderkey").withColumn("taken", F.sum("q").over(Window.partitionBy("l_partkey").orderBy("o_orderkey")))
-    ok = run.groupBy("o_orderkey", "o_custkey").agg(F.bool_and(F.col("taken") <= 400).alias("in_stock"), F.sum("amount").alias("amount"))
+    lines = first.join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_quantity", "l_extendedprice"), "o_orderkey")
+    asked = lines.select(F.col("o_orderkey").alias("order_id"), F.floor(F.col("o_orderkey") / 1000).alias("at"), F.lit(None).cast("long").alias("gone_at"), F.col("l_partkey").alias("sku"), F.col("l_quantity").alias("quantity"))
+    answers = orders.admitted(asked, asked.select("sku").distinct().withColumn("available", F.lit(400))).select(F.col("order_id").alias("o_orderkey"), F.col("accepted").alias("in_stock"))
+    ok = lines.groupBy("o_orderkey", "o_custkey").agg(F.sum("l_extendedprice").alias("amount")).join(answers, "o_orderkey")
     coupon = F.when(F.col("in_stock") & (F.col("o_custkey") % 3 == 0) & (F.col("amount") >= 1000), 50.0).otherwise(0.0)
     return ok.select("o_orderkey", "in_stock", F.round("amount", 2).alias("amount"), coupon.alias("coupon"), F.round(F.when(F.col("in_stock"), F.col("amount") - coupon).otherwise(0.0), 2).alias("total"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import haystack, hash_number, search_tokens, search_tokens_sql, token_set
-from vitrine.operators import ranking, vectors
-from vitrine.session import table
+from vitrine.operators import blockindex, ranking, vectors
+from vitrine.session import scratch, table
 
 from .registry import query
 
@@ -48,17 +48,29 @@ def _route(scored, name):
     return scored.where(F.col("route") == name).select("query_id", "doc_id", "score", "rank")
 
 
-def _routes(spark, sf_dir, pool=50):
-    """Both routes' pools, from one scan."""
-    scored = _scored(spark, sf_dir, pool)
-    return _route(scored, "bm25"), _route(scored, "overlap")
-
-
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM bm25_top WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
     return _route(_scored(spark, sf_dir, 10), "bm25")
 
 
+@query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM bm25_top WHERE rank <= 10")
+def stored_index_topk(spark, sf_dir):
+    """BM25 from an index that is written once; a search opens the folders of its terms and scores the lanes that can reach the best."""
+    path = scratch(spark, "index")
+    blockindex.write(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return blockindex.search(spark, path, table(spark, sf_dir, "benchmark"), "item_id", "text", 10)
+
+
+@query(f"""WITH {BM25_SQL.replace('FROM benchmark', "FROM (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 3, 5), ' ') AS text FROM benchmark)")}
+    SELECT query_id, doc_id, score, rank FROM bm25_top WHERE rank <= 10""")
+def stored_index_phrases(spark, sf_dir):
+    """Short queries of three words against the stored index."""
+    path = scratch(spark, "index")
+    blockindex.write(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    short = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 3, 3), " ").alias("text"))
+    return blockindex.search(spark, path, short, "item_id", "text", 10)
+
+
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM lexical_top WHERE rank <= 10")
 def lexical_document_topk(spark, sf_dir):
     return _route(_scored(spark, sf_dir, 10), "overlap")
@@ -175,18 +187,18 @@ def knn_signature_rmse(spark, sf_dir):
 
 @query(_ranked("(SELECT query_id, doc_id, rank FROM bm25_top UNION ALL SELECT query_id, doc_id, rank FROM lexical_top)", "round(sum(1.0::DOUBLE / (60 + rank)), 6)"))
 def rrf_fusion(spark, sf_dir):
-    return ranking.top_k(ranking.rrf(*_routes(spark, sf_dir)), 10)
+    return ranking.top_k(ranking.rrf(_scored(spark, sf_dir, 50)), 10)
 
 
 @query(_ranked("joined", "round(0.5 * least(greatest(a / 50, 0), 1) + 0.5 * b / (1 + b), 6)"))
 def weighted_fusion(spark, sf_dir):
-    both = ranking.both(*_routes(spark, sf_dir))
+    both = ranking.both(_scored(spark, sf_dir, 50))
     return ranking.top_k(both.select("query_id", "doc_id", F.round(0.5 * ranking.clipped(F.col("a") / 50) + 0.5 * F.col("b") / (1 + F.col("b")), 6).alias("score")), 10)
 
 
 @query(_ranked("joined", "round(greatest(least(greatest(a / 50, 0), 1), b / (1 + b)), 6)"))
 def max_fusion(spark, sf_dir):
-    both = ranking.both(*_routes(spark, sf_dir))
+    both = ranking.both(_scored(spark, sf_dir, 50))
     return ranking.top_k(both.select("query_id", "doc_id", F.round(F.greatest(ranking.clipped(F.col("a") / 50), F.col("b") / (1 + F.col("b"))), 6).alias("score")), 10)
 
 
@@ -196,7 +208,7 @@ _MODEL = "((doc_id * 7919 + query_id * 104729) % 1000 / 1000.0::DOUBLE)"
 @query(_ranked("joined", f"round(0.7 * {_MODEL} + 0.15 / (1 + exp(-a)) + 0.15 / (1 + exp(-b)), 6)"))
 def ensemble_score(spark, sf_dir):
     """Three signals: a model's score, which is an input column (here a number of the pair), and both routes, squashed."""
-    both = ranking.both(*_routes(spark, sf_dir))
+    both = ranking.both(_scored(spark, sf_dir, 50))
     score = 0.7 * _model() + 0.15 * ranking.sigmoid(F.col("a")) + 0.15 * ranking.sigmoid(F.col("b"))
     return ranking.top_k(both.select("query_id", "doc_id", F.round(score, 6).alias("score")), 10)
 
@@ -204,7 +216,7 @@ def ensemble_score(spark, sf_dir):
 @query(_ranked("joined", f"round(0.6 * {_MODEL} + 0.2 * least(greatest(a / 50, 0), 1) + 0.2 * b / (1 + b), 6)"))
 def light_ensemble_score(spark, sf_dir):
     """The light variant: the routes are clipped, not squashed."""
-    both = ranking.both(*_routes(spark, sf_dir))
+    both = ranking.both(_scored(spark, sf_dir, 50))
     score = 0.6 * _model() + 0.2 * ranking.clipped(F.col("a") / 50) + 0.2 * F.col("b") / (1 + F.col("b"))
     return ranking.top_k(both.select("query_id", "doc_id", F.round(score, 6).alias("score")), 10)
 
@@ -216,7 +228,7 @@ def _model():
 @query(_ranked("joined", "round(a + b, 6)", 20))
 def raw_sum_candidates(spark, sf_dir):
     """The pool that a model would re-rank: 20 of the largest raw sum of both routes."""
-    both = ranking.both(*_routes(spark, sf_dir))
+    both = ranking.both(_scored(spark, sf_dir, 50))
     return ranking.top_k(both.select("query_id", "doc_id", F.round(F.col("a") + F.col("b"), 6).alias("score")), 20)
 
 

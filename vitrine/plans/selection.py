@@ -109,7 +109,7 @@ def text_image_fusion(spark, sf_dir):
         own = rows.select("vec_id", F.slice("embedding", start, 32).alias("embedding"))
         return vectors.nearest(own, own.where("vec_id % 50 = 0"), selection.POOL).withColumnRenamed("vec_id", "doc_id")
 
-    both = ranking.both(mode(1), mode(33))
+    both = ranking.both(mode(1).withColumn("route", F.lit("bm25")).unionByName(mode(33).withColumn("route", F.lit("overlap"))))
     return ranking.top_k(both.select("query_id", "doc_id", F.round(0.6 * F.col("a") + 0.4 * F.col("b"), 6).alias("score")), 10)
 
 

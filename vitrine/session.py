@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,24 @@ def local_session(cpus: str = "*", app: str = "vitrine") -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables; columns are pruned and filters pushed by the reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_OWN: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder that ``spark.checkpoint.dir`` names; where that is unset (tests, one machine), below a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="vitrine-")
+        root = _OWN[app]
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a written table in the shared folder, so that nothing before it is worked out again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
