@@ -37,7 +37,7 @@ def same(a, b):
     return a == b or a.replace(".0", "") == b.replace(".0", "") or (a.replace(".", "").isdigit() and b.replace(".", "").isdigit() and float(a) == float(b))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, sf, con, name):
     got, want = rows(QUERIES[name](spark, sf).toPandas()), rows(con.execute(SQL[name]).df())
     assert len(got) == len(want)
