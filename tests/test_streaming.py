@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vitrine.plans import QUERIES
 from vitrine.session import table
-from vitrine.streaming import click_rates, expiring_sessions, read_events, read_upserts, request_breakers, too_many_requests, upsert_stream
+from vitrine.streaming import click_rates, expiring_sessions, latency_sketches, read_events, read_upserts, request_breakers, too_many_requests, upsert_stream
 
 
 def finished(spark, stream, mode, tmp_path, name):
@@ -62,3 +62,24 @@ def test_upsert_keeps_the_last_of_a_key(spark, tmp_path):
         upsert_stream(spark.readStream.schema(schema).parquet(folder), out, check).awaitTermination(120)
     got = {r.event_id: r.value for r in read_upserts(spark, out).collect()}
     assert got == {1: 7.0, 2: 7.0, 3: 9.0}
+
+
+def test_sketches(spark, sf, tmp_path):
+    """Sketches of a stream's windows merge to percentiles within one per cent of the exact ones."""
+    from vitrine.operators.sequence import SKETCH_ERROR, sketch_percentiles
+
+    own = finished(spark, latency_sketches(feed(spark, sf, tmp_path)), "complete", tmp_path, "sketches")
+    events = table(spark, sf, "events")
+    assert own.agg(F.sum("n")).first()[0] == events.count()
+    points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    got = {r.event_type: r for r in sketch_percentiles(own, ["event_type"], points).collect()}
+    values = {}
+    for r in events.select("event_type", "value").collect():
+        values.setdefault(r.event_type, []).append(r.value)
+    assert set(got) == set(values)
+    for kind, own in values.items():
+        own.sort()
+        assert got[kind].n == len(own)
+        for name, p in points.items():
+            exact = own[int(p * (len(own) - 1))]
+            assert abs(got[kind][name] - exact) <= SKETCH_ERROR * exact + 1e-9, (kind, name)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vitrine.operators.sequence import sketch_bucket
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -85,3 +87,12 @@ def read_upserts(spark: SparkSession, folder: str, key: str = "event_id") -> Dat
     rows = spark.read.parquet(folder)
     last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "batch").alias("row"))
     return last.select(key, "row.*").drop("batch")
+
+
+def latency_sketches(events: DataFrame, width: str = "1 day") -> DataFrame:
+    """Counts of values by window, kind and bucket: the state is a number a bucket, and counts of any windows add up to a sketch of both.
+
+    ``sequence.sketch_percentiles`` reads percentiles from them, to within one per cent of their value.
+    """
+    own = events.groupBy(F.window("ts", width).alias("w"), "event_type", sketch_bucket(F.col("value")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return own.select(F.col("w.start").alias("start"), "event_type", "bucket", "n")
