@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def clean(text: Column) -> Column:
@@ -55,10 +59,24 @@ def through_cache(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.join(known, "key", "left").withColumn("origin", F.when(F.col("__known"), "cached").otherwise("computed")).drop("__known")
 
 
-def first_json(text: Column) -> Column:
-    """The first object without inner objects in a text; null if there is none."""
-    found = F.regexp_extract(text, r"\{[^{}]*\}", 0)
-    return F.when(found != "", found)
+@F.pandas_udf(StringType())
+def first_json(text: pd.Series) -> pd.Series:
+    """The first JSON object in a text, with all that is nested in it; null if there is none.
+
+    A brace that begins no whole object is passed over, as are braces inside of the object's strings.
+    """
+    decode = json.JSONDecoder().raw_decode
+
+    def first(value: str | None) -> str | None:
+        at = value.find("{") if value else -1
+        while at >= 0:
+            try:
+                return value[at : decode(value, at)[1]]
+            except (ValueError, RecursionError):
+                at = value.find("{", at + 1)
+        return None
+
+    return text.map(first, na_action="ignore")
 
 
 def mapped(value: Column, names: dict[str, str]) -> Column:

@@ -174,16 +174,20 @@ def restricted_examples(spark, sf_dir):
     return kept.join(p.select("p_partkey", "p_name"), "p_partkey").select("order_id", F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), "examples")
 
 
-@query("""WITH t AS (SELECT event_id, 'Sure, here it is: ' || CASE event_id % 3 WHEN 0 THEN '```json ' || props || ' ```' WHEN 1 THEN props || ' {"x": 1}' ELSE 'none' END AS answer, event_type, value FROM events),
-    j AS (SELECT *, nullif(regexp_extract(answer, '\\{[^{}]*\\}'), '') AS found FROM t)
+@query("""WITH t AS (SELECT event_id, 'Sure, here it is: ' || CASE event_id % 5 WHEN 0 THEN '```json ' || props || ' ```' WHEN 1 THEN props || ' {"x": 1}' WHEN 2 THEN 'none'
+        WHEN 3 THEN 'see {it} or {"a": {"b": [1, {"c": "}{ "}]}, "k": ' || CAST(event_id % 7 AS VARCHAR) || '} ' || props ELSE '{"k": 1, "in": ' || props END AS answer, event_type, value FROM events),
+    o AS (SELECT *, list_filter(range(1, length(answer) + 1), lambda i: substr(answer, CAST(i AS INT), 1) = '{') AS opens, list_filter(range(1, length(answer) + 1), lambda i: substr(answer, CAST(i AS INT), 1) = '}') AS closes FROM t),
+    j AS (SELECT *, list_filter(flatten(list_transform(opens, lambda a: list_transform(closes, lambda b: CASE WHEN b > a THEN substr(answer, CAST(a AS INT), CAST(b - a + 1 AS INT)) END))), lambda x: x IS NOT NULL AND json_valid(x))[1] AS found FROM o)
     SELECT event_id, CAST(json_extract_string(found, '$.k') AS INT) AS k, found IS NOT NULL AS parsed,
            CASE WHEN points >= 3 THEN 'high' WHEN points >= 2 THEN 'medium' ELSE 'low' END AS confidence
     FROM (SELECT *, CASE WHEN found IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END + CASE WHEN value > 50 THEN 1 ELSE 0 END AS points FROM j)""")
 def json_in_text(spark, sf_dir):
-    """The first JSON object in a model's answer, and how sure its fields make us."""
-    e, n = table(spark, sf_dir, "events"), F.col("event_id") % 3
-    body = F.when(n == 0, F.concat(F.lit("```json "), "props", F.lit(" ```"))).when(n == 1, F.concat("props", F.lit(' {"x": 1}'))).otherwise(F.lit("none"))
-    found = cat.first_json(F.concat(F.lit("Sure, here it is: "), body))
+    """The first JSON object in a model's answer, with inner objects, and how sure its fields make us."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id") % 5
+    nested = F.concat(F.lit('see {it} or {"a": {"b": [1, {"c": "}{ "}]}, "k": '), (F.col("event_id") % 7).cast("string"), F.lit("} "), "props")
+    body = F.when(n == 0, F.concat(F.lit("```json "), "props", F.lit(" ```"))).when(n == 1, F.concat("props", F.lit(' {"x": 1}'))).when(n == 2, "none").when(n == 3, nested).otherwise(F.concat(F.lit('{"k": 1, "in": '), "props"))
+    e = e.select("event_id", "event_type", "value", cat.first_json(F.concat(F.lit("Sure, here it is: "), body)).alias("found"))
+    found = F.col("found")
     points = found.isNotNull().cast("int") + (F.col("event_type") != "error").cast("int") + (F.col("value") > 50).cast("int")
     return e.select("event_id", F.get_json_object(found, "$.k").cast("int").alias("k"), found.isNotNull().alias("parsed"), F.when(points >= 3, "high").when(points >= 2, "medium").otherwise("low").alias("confidence"))
 

@@ -10,10 +10,11 @@ from vitrine.operators import language as nlu
 from .filters import PRODUCT_SQL, products
 from .registry import query
 
-#: Answers: {n} name, {b} brand, {p} price, {w} another price, {s} stock, {t} another stock.
+#: Answers: {n} name, {b} brand, {p} price, {w} another price, {s} stock, {t} another stock, {i} another price in whole units.
 ANSWERS = [
     "推荐【候选1】{n}，价格：{p}，库存 {s} 件", "{n}只要¥{w}，【候选1】", "{n}保证好用，【候选2】", "推荐【候选3】{b}的商品", "抱歉，没有找到合适的商品", "{n}有优惠券，售价：{p}，【候选1】", "这是一件很好的东西",
     "{n}不是{p}元吗，比另一款低 5 元，还有 {t} 件，【候选1】【候选2】【候选9】【候选1】", "{n}无法保证永久，{p}元",
+    "{n}不能保证，保证好", "{n}只要¥{i}，编号 {i}.00", "{n}现在 {i}元, 编号 {i}，{p}元", "{n}已经售罄，【候选1】", "商品充足，第1款，剩余{t}件，还有 {t} 台",
 ]
 
 
@@ -23,7 +24,7 @@ def answers(spark, sf_dir):
     both = p.join(p.select((F.col("product_id") - 1).alias("product_id"), F.col("a").alias("b")), "product_id")
     money = lambda x: F.format_string("%.2f", x)
     text = F.element_at(F.array(*map(F.lit, ANSWERS)), (F.col("product_id") % len(ANSWERS) + 1).cast("int"))
-    for name, value in (("{n}", F.col("a.name")), ("{b}", F.col("b.brand")), ("{p}", money(F.col("a.price"))), ("{w}", money(F.col("a.price") + 7)), ("{s}", F.col("a.stock").cast("string")), ("{t}", (F.col("a.stock") + 1).cast("string"))):
+    for name, value in (("{n}", F.col("a.name")), ("{b}", F.col("b.brand")), ("{p}", money(F.col("a.price"))), ("{w}", money(F.col("a.price") + 7)), ("{i}", F.floor(F.col("a.price") + 7).cast("string")), ("{s}", F.col("a.stock").cast("string")), ("{t}", (F.col("a.stock") + 1).cast("string"))):
         text = F.replace(text, F.lit(name), value)
     question = F.when(F.col("product_id") % 4 == 0, F.concat(F.lit("预算 "), F.floor(F.col("a.price")).cast("string"), F.lit(" 元"))).otherwise("随便看看")
     return both.select("product_id", "a", "b", text.alias("answer"), question.alias("question"))
@@ -31,7 +32,7 @@ def answers(spark, sf_dir):
 
 _LIST = "[" + ", ".join("'" + x + "'" for x in ANSWERS) + "]"
 _ANSWERS_SQL = f"""{PRODUCT_SQL}, ans AS (SELECT a.product_id, a.name AS n1, a.brand AS b1, a.price AS p1, a.stock AS s1, b.name AS n2, b.brand AS b2, b.price AS p2, b.stock AS s2,
-        replace(replace(replace(replace(replace(replace({_LIST}[a.product_id % {len(ANSWERS)} + 1], '{{n}}', a.name), '{{b}}', b.brand), '{{p}}', printf('%.2f', a.price)), '{{w}}', printf('%.2f', a.price + 7)), '{{s}}', CAST(a.stock AS VARCHAR)), '{{t}}', CAST(a.stock + 1 AS VARCHAR)) AS answer,
+        replace(replace(replace(replace(replace(replace(replace({_LIST}[a.product_id % {len(ANSWERS)} + 1], '{{n}}', a.name), '{{b}}', b.brand), '{{p}}', printf('%.2f', a.price)), '{{w}}', printf('%.2f', a.price + 7)), '{{i}}', CAST(CAST(floor(a.price + 7) AS BIGINT) AS VARCHAR)), '{{s}}', CAST(a.stock AS VARCHAR)), '{{t}}', CAST(a.stock + 1 AS VARCHAR)) AS answer,
         CASE WHEN a.product_id % 4 = 0 THEN '预算 ' || CAST(CAST(floor(a.price) AS BIGINT) AS VARCHAR) || ' 元' ELSE '随便看看' END AS question
         FROM product a JOIN product b ON b.product_id = a.product_id + 1)"""
 
@@ -61,12 +62,17 @@ _CLAIMS_SQL = f"""{_ANSWERS_SQL},
     prices AS (SELECT product_id, coalesce(bool_or(wrong), false) AS wrong, bool_or(strange) AS strange FROM price GROUP BY 1),
     stock AS (SELECT product_id, coalesce(bool_or(CAST(x AS INT) <> actual), false) AS wrong FROM (SELECT product_id, unnest(regexp_extract_all(answer, '{nlu.STOCK}', 1)) AS x, {_meant('answer', 's')} AS actual FROM ans) GROUP BY 1),
     broken AS (SELECT ans.*, list_filter([CASE WHEN NOT {_MENTIONS} AND NOT {_any(nlu.DECLINES)} THEN 'no_product' END, CASE WHEN {_any(nlu.ABSOLUTES)} THEN 'absolute' END, CASE WHEN {_any(nlu.PROMOTIONS)} THEN 'promotion' END, CASE WHEN {_any(nlu.BUSINESS)} THEN 'business' END,
-            CASE WHEN prices.wrong THEN 'price' END, CASE WHEN stock.wrong THEN 'stock' END, CASE WHEN prices.strange THEN 'ungrounded' END], lambda x: x IS NOT NULL) AS v FROM ans LEFT JOIN prices USING (product_id) LEFT JOIN stock USING (product_id))"""
+            CASE WHEN prices.wrong THEN 'price' END, CASE WHEN stock.wrong THEN 'stock' END,
+            CASE WHEN (regexp_matches(answer, '充足|很多') AND {_meant('answer', 's')} <= 5) OR (regexp_matches(answer, '售罄|断货|卖完') AND {_meant('answer', 's')} > 0) THEN 'status' END, CASE WHEN prices.strange THEN 'ungrounded' END], lambda x: x IS NOT NULL) AS v FROM ans LEFT JOIN prices USING (product_id) LEFT JOIN stock USING (product_id))"""
 
 
-@query(f"""WITH {_CLAIMS_SQL}, fix AS (SELECT product_id, arg_min(claimed, i) AS claimed, arg_min(actual, i) AS actual FROM price WHERE wrong GROUP BY 1)
-    SELECT product_id, array_to_string(v, ',') AS violations, CASE WHEN list_contains(v, 'no_product') THEN 'fallback' WHEN list_has_any(v, ['absolute', 'promotion', 'business']) THEN 'regenerate' WHEN list_has_any(v, ['price', 'stock', 'ungrounded']) THEN 'auto_correct' ELSE 'pass' END AS action,
-        CASE WHEN claimed IS NULL THEN answer ELSE replace(answer, printf('%.2f', claimed), printf('%.2f', actual)) END AS corrected FROM broken LEFT JOIN fix USING (product_id)""")
+@query(f"""WITH {_CLAIMS_SQL}, shown AS (SELECT product_id, i, parts[i] AS part, CASE WHEN NOT wrong OR actual IS NULL THEN found[i]
+            ELSE regexp_replace(found[i], '[0-9]+([.][0-9]+)?', CASE WHEN NOT contains(found[i], '.') AND floor(actual) = actual THEN CAST(CAST(actual AS BIGINT) AS VARCHAR) ELSE printf('%.2f', actual) END) END AS told
+        FROM price JOIN cut USING (product_id)),
+    fix AS (SELECT product_id, string_agg(part || told, '' ORDER BY i) || any_value(rest) AS text FROM shown JOIN (SELECT product_id, parts[-1] AS rest FROM cut) USING (product_id) GROUP BY 1),
+    stocked AS (SELECT broken.*, coalesce(text, answer) AS priced, {_meant('answer', 's')} AS actual_stock FROM broken LEFT JOIN fix USING (product_id))
+    SELECT product_id, array_to_string(v, ',') AS violations, CASE WHEN list_contains(v, 'no_product') THEN 'fallback' WHEN list_has_any(v, ['absolute', 'promotion', 'business']) THEN 'regenerate' WHEN list_has_any(v, ['price', 'stock', 'status', 'ungrounded']) THEN 'auto_correct' ELSE 'pass' END AS action,
+        CASE WHEN actual_stock IS NULL THEN priced ELSE regexp_replace(priced, '((库存|现货|剩余|还有|仅剩)\\s*[：:]?\\s*)[0-9]+', '\\1' || actual_stock, 'g') END AS corrected FROM stocked""")
 def price_grounding(spark, sf_dir):
     """Every rule that an answer breaks, what is done with it, and its text with wrong prices corrected."""
     a = answers(spark, sf_dir)
@@ -92,12 +98,14 @@ def indexed_citations(spark, sf_dir):
     return own.select("product_id", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("cited"), "invented", ((F.size("c") == 0) & ~F.col("declined")).alias("missing"))
 
 
-_WORDS, _NOT = "|".join(nlu.ABSOLUTES), "|".join(nlu.NEGATIONS)
-
-
 @query(f"""WITH {_CLAIMS_SQL}, b AS (SELECT *, TRY_CAST(regexp_extract(question, '预算\\s*([0-9]{{3,6}})', 1) AS DOUBLE) AS budget FROM ans),
-    s AS (SELECT product_id, bool_or(abs(claimed - p1) > 1 AND abs(claimed - p2) > 1 AND abs(claimed - coalesce(budget, p1)) > 1) AS strange FROM price JOIN b USING (product_id) WHERE NOT regexp_matches(before, '{"|".join(nlu.DIFFERENCES)}') GROUP BY 1)
-    SELECT product_id, len(regexp_extract_all(answer, '{_WORDS}')) > len(regexp_extract_all(answer, '(?:{_NOT}).{{0,9}}?(?:{_WORDS})')) OR coalesce(strange, false) OR NOT {_MENTIONS} AS bad FROM b LEFT JOIN s USING (product_id)""")
+    s AS (SELECT product_id, bool_or(abs(claimed - p1) > 1 AND abs(claimed - p2) > 1 AND abs(claimed - coalesce(budget, p1)) > 1) AS strange FROM price JOIN b USING (product_id) WHERE NOT regexp_matches(before, '低|贵|便宜|差|省|降|剩') GROUP BY 1),
+    w AS (SELECT product_id, word, string_split(answer, word) AS parts FROM ans, (SELECT unnest(['保证', '100%', '百分百', '根治', '治愈', '无副作用', '永久', '全网第一', '行业第一']) AS word) WHERE contains(answer, word)),
+    o AS (SELECT product_id, substr(answer, CAST(greatest(at_char - 10, 0) + 1 AS INT), CAST(least(at_char, 10) AS INT)) AS ahead
+        FROM (SELECT product_id, list_sum(list_transform(parts[:k], lambda p: length(p))) + (k - 1) * length(word) AS at_char FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM w)) JOIN ans USING (product_id)),
+    c AS (SELECT product_id, bool_or(NOT regexp_matches(ahead, '没有|无|无法|不能|不可|不得|未|别|暂不')) AS claims FROM o GROUP BY 1)
+    SELECT product_id, coalesce(claims, false) OR coalesce(strange, false) OR NOT (contains(answer, b1) OR contains(answer, b2) OR contains(answer, substr(n1, 1, 6)) OR contains(answer, right(n1, 6)) OR contains(answer, substr(n2, 1, 6)) OR contains(answer, right(n2, 6))) AS bad
+    FROM b LEFT JOIN s USING (product_id) LEFT JOIN c USING (product_id)""")
 def judged_answers(spark, sf_dir):
     """A judge by rules over every answer: negated claims and the user's budget are exempt."""
     return answers(spark, sf_dir).select("product_id", grounding.judged_bad(F.col("answer"), F.col("question"), [F.col("a"), F.col("b")]).alias("bad"))

@@ -164,13 +164,13 @@ def brands_by_alias(spark, sf_dir):
     return asked.select("o_orderkey", mention.alias("alias")).join(alias, "alias").groupBy(F.col("canonical").alias("brand")).agg(F.count(F.lit(1)).alias("messages"), F.min("o_orderkey").alias("first"))
 
 
-@query(f"""WITH {answers_of._CLAIMS_SQL}, a AS (SELECT *, CASE WHEN list_contains(v, 'no_product') THEN 'fallback' WHEN list_has_any(v, ['absolute', 'promotion', 'business']) THEN 'regenerate' WHEN list_has_any(v, ['price', 'stock', 'ungrounded']) THEN 'auto_correct' ELSE 'pass' END AS action FROM broken),
-    l AS (SELECT action, unnest(CASE WHEN len(v) = 0 THEN [0] ELSE list_distinct(list_transform(v, lambda x: CASE WHEN x = 'no_product' THEN 1 WHEN x IN ('price', 'stock', 'ungrounded') THEN 2 ELSE 3 END)) END) AS layer FROM a) SELECT action, CAST(layer AS INT) AS layer, count(*) AS answers FROM l GROUP BY 1, 2""")
+@query(f"""WITH {answers_of._CLAIMS_SQL}, a AS (SELECT *, CASE WHEN list_contains(v, 'no_product') THEN 'fallback' WHEN list_has_any(v, ['absolute', 'promotion', 'business']) THEN 'regenerate' WHEN list_has_any(v, ['price', 'stock', 'status', 'ungrounded']) THEN 'auto_correct' ELSE 'pass' END AS action FROM broken),
+    l AS (SELECT action, unnest(CASE WHEN len(v) = 0 THEN [0] ELSE list_distinct(list_transform(v, lambda x: CASE WHEN x = 'no_product' THEN 1 WHEN x IN ('price', 'stock', 'status', 'ungrounded') THEN 2 ELSE 3 END)) END) AS layer FROM a) SELECT action, CAST(layer AS INT) AS layer, count(*) AS answers FROM l GROUP BY 1, 2""")
 def guard_layers(spark, sf_dir):
     """Answers by what was done with them and by the layer of the guard that found something; 0 where none did."""
     v = grounding.violations(F.col("answer"), [F.col("a"), F.col("b")])
     own = answers_of.answers(spark, sf_dir).select(v.alias("v")).select(grounding.action(F.col("v")).alias("action"), "v")
-    layer = lambda x: F.when(x == "no_product", 1).when(x.isin("price", "stock", "ungrounded"), 2).otherwise(3)
+    layer = lambda x: F.when(x == "no_product", 1).when(x.isin("price", "stock", "status", "ungrounded"), 2).otherwise(3)
     return own.select("action", F.explode(F.when(F.size("v") == 0, F.array(F.lit(0))).otherwise(F.array_distinct(F.transform("v", layer)))).alias("layer")).groupBy("action", "layer").agg(F.count(F.lit(1)).alias("answers"))
 
 
