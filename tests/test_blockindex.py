@@ -43,7 +43,7 @@ def corpus():
 @pytest.fixture(scope="module")
 def stored(spark, corpus):
     path = scratch(spark, "test-index")
-    blockindex.write(spark.createDataFrame(corpus[0], "key long, body string").withColumnRenamed("key", "term"), "term", "body", path)
+    blockindex.write(spark.createDataFrame(corpus[0], "key long, body string").withColumnRenamed("key", "term"), "term", "body", path, lane=16)
     return path
 
 
@@ -56,6 +56,14 @@ def test_equals_plain_scores(spark, corpus, stored, k):
     assert all(a[1] == b[1] and abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want, strict=True))
 
 
+def test_repeated_ids_and_null_ids(spark):
+    path = scratch(spark, "test-index")
+    rows = [(1, "same words here"), (1, "same words"), (None, "same words"), (2, "other text")]
+    blockindex.write(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", path)
+    asked = spark.createDataFrame([(1, "same"), (None, "same")], "q long, t string")
+    assert [(r.query_id, r.doc_id, r.rank) for r in blockindex.search(spark, path, asked, "q", "t", 9).collect()] == [(1, 1, 1), (1, 1, 2)]
+
+
 def test_lanes_are_passed_over(spark, corpus, stored):
     asked = spark.createDataFrame(corpus[1], "lane long, term string")
     rows = blockindex.passed_over(spark, stored, asked, "lane", "term", 1).collect()

@@ -1,63 +1,102 @@
 """A stored index with block maxima: written once, searched by term.
 
-Documents are dealt to lanes of about ``LANE`` documents by a hash of their id. A block is what one
-term has in one lane: its ids as distances from the block's first one, counts, lengths, and the
-block's greatest impact, which is what one occurrence list can add to a score at most (without the
-term's weight). Terms are in buckets by their hash, a folder each, so a search opens the folders
-of its own terms only; in a folder blocks are sorted by term and lane. A term that is in
-a third of all documents is many blocks, in as many files as it needs.
-
-A search first reads terms, lanes and impacts alone. The sum of a query's impacts in a lane bounds
-the score of every document there. The ``SEEDS`` lanes with the highest bounds are scored in
-full and give each query its k-th best score so far; after that only lanes whose bound reaches
+Documents are dealt to lanes of ``LANE`` in the order in which they are read, so a lane's blocks are made where
+its texts are. A block is what one term has in one lane: the documents' places in the lane with their counts, in
+4 bytes each, and two numbers that bound what it can add to a score, its greatest count and its least text
+length. A lane's ids and lengths are stored once. Terms are in buckets by their hash, a
+folder each, so a search opens the folders of its own terms only; in a folder blocks are sorted
+by term and lane. A term that is in a third of all documents is many blocks, dealt to ``parts`` files.
+
+A search first reads terms, lanes and bounds alone. The sum of a query's bounds in a lane is at least
+the score of every document there. The ``SEEDS`` lanes with the highest sums are scored in
+full and give each query its k-th best score so far; after that only lanes whose sum reaches
 that score are. No document that could be among the k best is passed over.
 
-Defined cases: a null text has no terms but counts as a document; a null id counts in the statistics but is
-in no block; rows of one id and text length in one lane add up; empty tables give empty indexes and
-no rows; a query without known terms has no rows.
+Defined cases: a null text has no terms but counts as a document; a null id is left out, from the statistics
+too; rows of one id are documents of their own; empty tables give empty indexes and no rows; a
+query without known terms, or with a null id, has no rows; equal scores go by document id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import search_tokens as tokens
 
-from .ranking import EPSILON, K1, B, postings, top_k
+from .ranking import EPSILON, K1, B, top_k
 
-LANE, SEEDS = 32, 4
-#: Occurrences of a folder's terms, about.
-BUCKET = 1 << 20
+LANE, SEEDS = 512, 4
+#: Documents for each folder, for each file of one folder, and queries scored together in a lane.
+FOLDER, FILE, TOGETHER = 8192, 1 << 22, 1000
+#: Half of the last digit of a rounded score: a bound this much lower may still be reached.
+SLACK = 1e-6
+#: The folder of the lanes' ids and lengths.
+LANES = -1
 SCHEMAS = {
-    "blocks": "term string, lane long, impact double, first_id long, steps array<long>, tf array<int>, dl array<int>, bucket int",
+    "blocks": "term string, lane long, df int, most_tf long, least_dl long, data binary, bucket int",
     "terms": "term string, df long, bucket int",
 }
-#: Half of the last digit of a rounded score: a bound this much lower may still be reached.
-SLACK = 1e-6
 
 
-def write(docs: DataFrame, doc_id: str, text: str, path: str) -> None:
+def _lane_rows(size: int, lane: int, ids: np.ndarray, lists: pa.ListArray) -> pa.RecordBatch:
+    """The blocks of one lane, and a row without a term for its ids and lengths."""
+    length = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+    words = lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(ids)), length)
+    pair, tf = np.unique(np.asarray(words.indices, np.int64) * size + row, return_counts=True)
+    term, place = np.divmod(pair, size)
+    first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(term)))
+    packed = tf * size + place
+    wide = len(packed) and int(packed.max()) >= 1 << 32
+    data = packed.astype("<u8" if wide else "<u4")
+    most = np.maximum.reduceat(tf, first) if len(first) else first
+    least = np.minimum.reduceat(length[place], first) if len(first) else first
+    offsets = np.append(first, len(term)) * data.itemsize
+    whole = np.concatenate([ids, length]).astype("<i8").tobytes()
+    blocks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+    columns = [
+        pa.concat_arrays([words.dictionary.take(pa.array(term[first])), pa.array([None], pa.string())]),
+        pa.array([lane] * (len(first) + 1), pa.int64()),
+        pa.array([*n.tolist(), len(ids)], pa.int32()),
+        pa.array([*most.tolist(), 0], pa.int64()),
+        pa.array([*least.tolist(), int(length.sum())], pa.int64()),
+        pa.concat_arrays([blocks, pa.array([whole], pa.binary())]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "lane", "df", "most_tf", "least_dl", "data"])
+
+
+def _pack(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lane = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            yield _lane_rows(size, lane, np.asarray(part.column(0), np.int64), part.column(1))
+            lane += 1
+
+
+def write(docs: DataFrame, doc_id: str, text: str, path: str, lane: int = LANE) -> None:
     """Three tables below ``path``: a summary (one row), terms with their document frequencies, blocks."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    length = F.size(tokens(F.col("text"))).cast("long")
-    n_docs, total = rows.select(length.alias("dl")).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    average, lanes = max(total / max(n_docs, 1), 1e-9), max(1, -(-n_docs // LANE))
-    own = postings(rows.where("doc_id IS NOT NULL"), "doc_id", "text")
-    tf, dl = F.col("tf"), F.col("dl")
-    damped = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
-    packed = own.groupBy("term", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)).alias("lane")).agg(F.max(damped).alias("impact"), F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("found"))
-    first = F.col("found")[0]["doc_id"]
-    blocks = packed.select(
-        "term", "lane", "impact", first.alias("first_id"), F.transform("found", lambda x: x["doc_id"] - first).alias("steps"), F.col("found.tf").cast("array<int>").alias("tf"), F.col("found.dl").cast("array<int>").alias("dl")
-    )
-    buckets = int(min(max(total // BUCKET, 16), 1 << 16))
-    spark.createDataFrame([(n_docs, average, buckets)], "n_docs long, average double, buckets int").write.mode("overwrite").parquet(f"{path}/summary")
-    dealt = lambda df: df.withColumn("bucket", _bucket(buckets))
-    dealt(blocks).repartitionByRange("bucket", "term", "lane").sortWithinPartitions("bucket", "term", "lane").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
-    frequencies = spark.read.schema(SCHEMAS["blocks"]).parquet(f"{path}/blocks").groupBy("bucket", "term").agg(F.sum(F.size("tf")).cast("long").alias("df"))
-    frequencies.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), tokens(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("words"))
+    n_docs = rows.count()
+    buckets, parts = min(max(n_docs // FOLDER, 16), 1 << 16), n_docs // FILE + 1
+    blocks = rows.mapInArrow(lambda batches: _pack(lane, batches), "term string, lane long, df int, most_tf long, least_dl long, data binary")
+    blocks = blocks.withColumn("bucket", F.when(F.col("term").isNull(), LANES).otherwise(_bucket(buckets)))
+    dealt = blocks.repartition("bucket", F.pmod(F.xxhash64("lane"), F.lit(parts))).sortWithinPartitions("bucket", "term", "lane")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    stored = spark.read.schema(SCHEMAS["blocks"]).parquet(f"{path}/blocks")
+    total = stored.where(F.col("bucket") == LANES).agg(F.coalesce(F.sum("least_dl"), F.lit(0))).first()[0]
+    spark.createDataFrame([(n_docs, max(total / max(n_docs, 1), 1e-9), buckets, lane)], "n_docs long, average double, buckets int, lane int").write.mode("overwrite").parquet(f"{path}/summary")
+    frequencies = stored.where(F.col("bucket") != LANES).groupBy("bucket", "term").agg(F.sum("df").alias("df"))
+    frequencies.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
 
 
 def _bucket(buckets: int) -> Column:
@@ -69,11 +108,11 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.n_docs, self.average, self.buckets = spark.read.parquet(f"{path}/summary").first()
+        self.n_docs, self.average, self.buckets, self.lane = spark.read.parquet(f"{path}/summary").first()
 
     def asked(self, queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
         """query_id, term, times, bucket of each query's terms."""
-        each = queries.select(F.col(query_id).cast("long").alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term"))
+        each = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term"))
         return each.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).withColumn("bucket", _bucket(self.buckets))
 
     def folders(self, asked: DataFrame) -> list[int]:
@@ -92,8 +131,33 @@ class Index:
 
     def bounds(self, weighted: DataFrame, folders: list[int]) -> DataFrame:
         """query_id, lane, bound: what a document of the lane can score at most."""
-        impacts = self.table("blocks", folders).select("bucket", "term", "lane", "impact")
-        return weighted.join(impacts, ["bucket", "term"]).groupBy("query_id", "lane").agg(F.sum(F.col("weight") * F.col("impact")).alias("bound"))
+        blocks = self.table("blocks", folders).select("bucket", "term", "lane", "most_tf", "least_dl")
+        tf = F.col("most_tf")
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("least_dl") / self.average))
+        return weighted.join(blocks, ["bucket", "term"]).groupBy("query_id", "lane").agg(F.sum(F.col("weight") * impact).alias("bound"))
+
+
+def _score(size: int, average: float, k: int, blocks: pa.Table, lanes: pa.Table) -> pa.Table:
+    """The k best of each query in one lane."""
+    out: tuple[list, list, list] = ([], [], [])
+    if blocks.num_rows and lanes.num_rows:
+        both = np.frombuffer(lanes.column("data")[0].as_py(), "<i8")
+        ids, length = both[: len(both) // 2], both[len(both) // 2 :]
+        norm = K1 * (1 - B + B * length / average)
+        queries, at = np.unique(np.asarray(blocks.column("query_id"), np.int64), return_inverse=True)
+        scores = np.zeros((len(queries), len(ids)))
+        rows = zip(at.reshape(-1).tolist(), blocks.column("weight").to_pylist(), blocks.column("df").to_pylist(), blocks.column("data").to_pylist(), strict=True)
+        for q, weight, n, data in rows:
+            tf, place = np.divmod(np.frombuffer(data, "<u8" if len(data) == 8 * n else "<u4").astype(np.int64), size)
+            scores[q, place] += weight * tf * (K1 + 1) / (tf + norm[place])
+        scores = np.round(scores, 6)
+        for q, own in zip(queries.tolist(), scores, strict=True):
+            best = np.lexsort((ids, -own))[:k]
+            best = best[own[best] > 0]
+            out[0].extend([q] * len(best))
+            out[1].extend(ids[best].tolist())
+            out[2].extend(own[best].tolist())
+    return pa.table({"query_id": pa.array(out[0], pa.int64()), "doc_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, query_id: str, query_text: str, k: int, seeds: int = SEEDS) -> DataFrame:
@@ -105,15 +169,20 @@ def search(spark: SparkSession, path: str, queries: DataFrame, query_id: str, qu
     bounds = index.bounds(weighted, folders)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "lane"))
     seeded = bounds.withColumn("place", place).where(F.col("place") <= seeds).select("query_id", "lane")
-    blocks = index.table("blocks", folders).drop("impact")
+    blocks = index.table("blocks", folders).select("bucket", "term", "lane", "df", "data")
+    lanes = index.table("blocks", [LANES]).select(F.col("lane").alias("own_lane"), "data")
+    size, average, groups = index.lane, index.average, max(1, -(-queries.count() // TOGETHER))
+
+    def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        return _score(size, average, k, left, right)
 
-    def scored(lanes: DataFrame) -> DataFrame:
+    def scored(chosen: DataFrame) -> DataFrame:
         """The k best of each query in some of its lanes."""
-        wanted = lanes.join(weighted, "query_id")
-        found = wanted.join(blocks, ["bucket", "term", "lane"])
-        rows = found.select("query_id", "weight", "first_id", F.inline(F.arrays_zip("steps", "tf", "dl")))
-        part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.average))
-        return top_k(rows.groupBy("query_id", (F.col("first_id") + F.col("steps")).alias("doc_id")).agg(F.round(F.sum(part), 6).alias("score")), k)
+        found = chosen.join(weighted, "query_id").join(blocks, ["bucket", "term", "lane"])
+        found = found.select("lane", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("part"), "query_id", "weight", "df", "data")
+        sides = lanes.select("own_lane", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")).alias("own_part"), "data")
+        rows = found.groupBy("lane", "part").cogroup(sides.groupBy("own_lane", "own_part")).applyInArrow(score, "query_id long, doc_id long, score double")
+        return top_k(rows, k)
 
     first = scored(seeded)
     return top_k(first.unionByName(scored(_reached(bounds, first, k).join(seeded, ["query_id", "lane"], "left_anti"))).drop("rank"), k)
