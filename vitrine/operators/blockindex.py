@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import search_tokens as tokens
+from vitrine.session import kept
 
 from .ranking import EPSILON, K1, B, top_k
 
@@ -137,55 +138,67 @@ class Index:
         return weighted.join(blocks, ["bucket", "term"]).groupBy("query_id", "lane").agg(F.sum(F.col("weight") * impact).alias("bound"))
 
 
-def _score(size: int, average: float, k: int, blocks: pa.Table, lanes: pa.Table) -> pa.Table:
-    """The k best of each query in one lane."""
+def _score(size: int, average: float, k: int, blocks: pa.Table, asked: pa.Table) -> pa.Table:
+    """The k best of each query in one lane. blocks: those of any query's terms, and the lane's ids and lengths, which have no term."""
     out: tuple[list, list, list] = ([], [], [])
-    if blocks.num_rows and lanes.num_rows:
-        both = np.frombuffer(lanes.column("data")[0].as_py(), "<i8")
+    own = {t: (n, d) for t, n, d in zip(*(blocks.column(c).to_pylist() for c in ("term", "df", "data")), strict=True)} if asked.num_rows else {}
+    if None in own:
+        both = np.frombuffer(own[None][1], "<i8")
         ids, length = both[: len(both) // 2], both[len(both) // 2 :]
         norm = K1 * (1 - B + B * length / average)
-        queries, at = np.unique(np.asarray(blocks.column("query_id"), np.int64), return_inverse=True)
+        queries, at = np.unique(np.asarray(asked.column("query_id"), np.int64), return_inverse=True)
         scores = np.zeros((len(queries), len(ids)))
-        rows = zip(at.reshape(-1).tolist(), blocks.column("weight").to_pylist(), blocks.column("df").to_pylist(), blocks.column("data").to_pylist(), strict=True)
-        for q, weight, n, data in rows:
-            tf, place = np.divmod(np.frombuffer(data, "<u8" if len(data) == 8 * n else "<u4").astype(np.int64), size)
-            scores[q, place] += weight * tf * (K1 + 1) / (tf + norm[place])
-        scores = np.round(scores, 6)
-        for q, own in zip(queries.tolist(), scores, strict=True):
-            best = np.lexsort((ids, -own))[:k]
-            best = best[own[best] > 0]
+        asks: dict[str, list[tuple[int, float]]] = {}
+        for q, term, weight in zip(at.reshape(-1).tolist(), asked.column("term").to_pylist(), asked.column("weight").to_pylist(), strict=True):
+            asks.setdefault(term, []).append((q, weight))
+        for term, uses in asks.items():
+            if term in own:
+                n, data = own[term]
+                tf, place = np.divmod(np.frombuffer(data, "<u8" if len(data) == 8 * n else "<u4").astype(np.int64), size)
+                part = tf * (K1 + 1) / (tf + norm[place])
+                for q, weight in uses:
+                    scores[q, place] += weight * part
+        for q, row in zip(queries.tolist(), np.round(scores, 6), strict=True):
+            best = np.lexsort((ids, -row))[:k]
+            best = best[row[best] > 0]
             out[0].extend([q] * len(best))
             out[1].extend(ids[best].tolist())
-            out[2].extend(own[best].tolist())
+            out[2].extend(row[best].tolist())
     return pa.table({"query_id": pa.array(out[0], pa.int64()), "doc_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, query_id: str, query_text: str, k: int, seeds: int = SEEDS) -> DataFrame:
-    """query_id, doc_id, score, rank: the k best documents of each query, from the stored index alone."""
+    """query_id, doc_id, score, rank: the k best documents of each query, from the stored index alone.
+
+    A block leaves its file once, whatever the number of queries that ask for its term; bounds and the first
+    scores are written, so they are worked out once.
+    """
     index = Index(spark, path)
     asked = index.asked(queries, query_id, query_text)
     folders = index.folders(asked)
-    weighted = index.weighted(asked, folders)
-    bounds = index.bounds(weighted, folders)
+    weighted = kept(index.weighted(asked, folders), "index-weights")
+    bounds = kept(index.bounds(weighted, folders), "index-bounds")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "lane"))
     seeded = bounds.withColumn("place", place).where(F.col("place") <= seeds).select("query_id", "lane")
-    blocks = index.table("blocks", folders).select("bucket", "term", "lane", "df", "data")
-    lanes = index.table("blocks", [LANES]).select(F.col("lane").alias("own_lane"), "data")
     size, average, groups = index.lane, index.average, max(1, -(-queries.count() // TOGETHER))
+    terms = weighted.select("bucket", "term").distinct()
+    blocks = index.table("blocks", folders).join(terms, ["bucket", "term"], "left_semi").select("term", F.col("lane").alias("of_lane"), "df", "data")
+    blocks = blocks.unionByName(index.table("blocks", [LANES]).select("term", F.col("lane").alias("of_lane"), "df", "data"))
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         return _score(size, average, k, left, right)
 
     def scored(chosen: DataFrame) -> DataFrame:
         """The k best of each query in some of its lanes."""
-        found = chosen.join(weighted, "query_id").join(blocks, ["bucket", "term", "lane"])
-        found = found.select("lane", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("part"), "query_id", "weight", "df", "data")
-        sides = lanes.select("own_lane", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")).alias("own_part"), "data")
-        rows = found.groupBy("lane", "part").cogroup(sides.groupBy("own_lane", "own_part")).applyInArrow(score, "query_id long, doc_id long, score double")
+        own = blocks.join(chosen.select("lane").distinct(), F.col("of_lane") == F.col("lane"), "left_semi")
+        own = own.select("of_lane", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")).alias("of_part"), "term", "df", "data")
+        uses = chosen.join(weighted, "query_id").select("lane", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("part"), "query_id", F.col("term").alias("term"), "weight")
+        rows = own.groupBy("of_lane", "of_part").cogroup(uses.groupBy("lane", "part")).applyInArrow(score, "query_id long, doc_id long, score double")
         return top_k(rows, k)
 
-    first = scored(seeded)
-    return top_k(first.unionByName(scored(_reached(bounds, first, k).join(seeded, ["query_id", "lane"], "left_anti"))).drop("rank"), k)
+    first = kept(scored(seeded), "index-first")
+    rest = _reached(bounds, first, k).join(seeded, ["query_id", "lane"], "left_anti")
+    return top_k(first.unionByName(scored(rest)).drop("rank"), k)
 
 
 def _reached(bounds: DataFrame, found: DataFrame, k: int) -> DataFrame:
