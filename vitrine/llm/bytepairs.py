@@ -35,6 +35,8 @@ WINDOW = 1 << 20
 #: Pre-tokens of up to so many bytes share an array of trees; nodes in one array.
 SHARED, NODES = 128, 1 << 21
 NONE = np.int64(1) << 62
+#: Rows that are decoded at once.
+ROWS = 1000
 
 
 class RankFile:
@@ -53,22 +55,29 @@ class RankFile:
         self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         if self.single.min() < 0:
             raise ValueError("the ranks lack a byte")
-        get = self.ranks.get
-        found = {}
+
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        """Only encoding needs them; a worker that decodes does not hold them."""
+        get, found = self.ranks.get, {}
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
                 a, b = get(token[:k]), get(token[k:])
                 if a is not None and b is not None:
                     found[a << 32 | b] = rank
-        self.pairs = found
-        self.keys = np.array(sorted(found), np.int64)
-        self.values = np.array([found[k] for k in self.keys.tolist()], np.int64)
+        return found
+
+    @functools.cached_property
+    def sorted_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.array(sorted(self.pairs), np.int64)
+        return keys, np.array([self.pairs[k] for k in keys.tolist()], np.int64)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of each pair of token ids, NONE where it is no token."""
         key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], NONE)
+        keys, values = self.sorted_pairs
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, values[at], NONE)
 
 
 def merge_long(file: RankFile, data: bytes) -> list[int]:
@@ -253,7 +262,7 @@ def decoded(tokens: DataFrame, path: str, ids: str = "ids", to: str = "decoded")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, max(b.num_rows, 1), ROWS)):
             out = []
             for value in batch.column(ids):
                 data = np.frombuffer(value.as_buffer() or b"", "<u4") if value.is_valid else np.zeros(0, np.uint32)
