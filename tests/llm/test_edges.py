@@ -2,6 +2,7 @@
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from vitrine.llm import chat, classifier, decontaminate, minhash, packing, rules, sharding, suffixes, tokens, warc
 
@@ -123,6 +124,38 @@ def test_shards_of_equal_rows(spark, monkeypatch):
         assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
 
 
+def test_shards_are_dealt_alike_under_any_layout(spark):
+    """Shard, bucket and place of every record hang on contents alone: not on the input's order, its partitions or the shuffle's."""
+    rows = [(d % 400, "word " * (d % 37), f"k{d}") for d in range(1200)] + [(None, None, "n"), (None, "", "n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for parts, given in (("8", frame), ("5", frame), ("8", frame.repartition(7)), ("3", frame.orderBy(F.desc("kind")))):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            own = sharding.shuffled(given, shards=3, bucket_bytes=8192, keep=("kind",))
+            found.append(sorted((r.shard, r.bucket, r.place, r.kind) for r in own.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found[0]) == 1202 and all(f == found[0] for f in found[1:])
+
+
+def test_equal_long_records_are_numbered_by_their_bytes(spark):
+    """Few equal records of many bytes do not meet in one bucket either."""
+    frame = spark.createDataFrame([(1, "x" * 3000)] * 40 + [(d, "y") for d in range(50)], "doc_id long, text string")
+    own = sharding.shuffled(frame, shards=2, bucket_bytes=8192).where("doc_id = 1 AND text <> 'y'").collect()
+    assert len(own) == 40 and len({r.bucket for r in own}) > 4
+
+
+def test_fisher_yates_is_uniform_and_whole(spark):
+    """Every permutation of three is drawn about as often as another; of n all places come once."""
+    own = spark.range(6000).select(sharding.fisher_yates(F.lit(3), 5, F.col("id")).alias("p"))
+    counts = [r["count"] for r in own.groupBy("p").count().collect()]
+    assert len(counts) == 6 and all(850 < c < 1150 for c in counts)
+    sizes = spark.range(60).select("id", sharding.fisher_yates(F.col("id").cast("int"), 5, F.col("id")).alias("p")).collect()
+    assert all(sorted(r.p) == list(range(r.id)) for r in sizes)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "[INST] a [/INST]</s>"), (1, 1, "assistant", None), (1, 1, None, "x<~/s>"), (2, None, "to[/ROLE]ol", "t"), (2, 0, "system", ""), (None, 0, "user", "q"), (3, 0, None, None), (3, 0, None, None)]
     given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'c' AS formatted", "1 AS turns")

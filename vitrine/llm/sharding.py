@@ -2,14 +2,17 @@
 
 Pass 1 scatters the records: the shard is the one of the highest seeded hash of (doc_id, shard),
 so that with one more shard a record stays or goes to the new one; inside its shard a second
-seeded hash, of id and text, deals it to a bucket. There are as many buckets as keep one within
-``bucket_bytes``. The scatter is one exchange. Pass 2 puts each bucket in a fixed order, shuffles it by Fisher and
-Yates (Spark's ``shuffle`` with a seed) and writes it to the shard's folder. A record's slot is
+seeded hash, of id and text, deals it to a bucket. There are as many buckets as keep one at about
+``bucket_bytes`` and ``BUCKET_ROWS``. The scatter is one exchange. Pass 2 puts each bucket in a fixed order,
+shuffles it by Fisher and Yates and writes it to the shard's folder. Step i draws its place from the seeded hash
+of (shard, bucket, i), not from a generator of the task. A record's slot is
 its place in the bucket after the records of the shard's earlier buckets.
 
-All of it follows from a record's contents, so a task that is run again deals as it did before.
+All of it follows from the records' contents and the parameters: a task that is run again, another
+order of the input and another number of partitions give the same shards, buckets and places.
 Records with the same id and text would all meet in one bucket. Where there are more than
-``EQUAL_ROWS`` of them, they are counted first, with partial sums, and dealt by their number.
+``EQUAL_ROWS`` of them, or more bytes of them than a bucket should have, they are counted first, with partial sums,
+and dealt by their number.
 
 Defined cases: null text has size 1 and checksum 0; a null doc_id is hashed as such and is an
 ordinary key; repeated rows are all kept; an empty table gives no row; other columns are not
@@ -26,6 +29,8 @@ from .shared import scratch_path
 
 #: Records of one id and text beyond which they are numbered.
 EQUAL_ROWS = 1024
+#: Records that a bucket has on average at most: a step of its shuffle copies an array of as many places.
+BUCKET_ROWS = 2048
 
 
 def shard_of(doc_id: Column, shards: int, seed: int) -> Column:
@@ -35,28 +40,48 @@ def shard_of(doc_id: Column, shards: int, seed: int) -> Column:
     return F.greatest(*offers)["s"] if shards > 1 else F.lit(0)
 
 
-def measured(docs: DataFrame) -> tuple[int, int]:
-    """Bytes of all records (a text's and one more), and how many records have one id and text at most."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
-    equal = docs.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
-    total, most = equal.agg(F.sum("size"), F.max("n")).first()
-    return total or 0, most or 0
+def _size(text: str = "text") -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+
 
+def measured(docs: DataFrame) -> tuple[int, int, int, int]:
+    """Bytes (a text's and one more) and number of all records; of those of one id and text, the most and the most bytes where there are several."""
+    equal = docs.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(_size()).alias("size"))
+    several = F.when(F.col("n") > 1, F.col("size"))
+    found = equal.agg(F.sum("size"), F.sum("n"), F.max("n"), F.max(several)).first()
+    return tuple(v or 0 for v in found)
 
-def bucket_count(total: int, shards: int, bucket_bytes: int) -> int:
-    """Buckets a shard: a power of two of at least bytes / (shards * bucket_bytes)."""
-    return max(1, 1 << max(0, -(-total // (shards * bucket_bytes)) - 1).bit_length())
 
+def bucket_count(total: int, shards: int, bucket_bytes: int, rows: int = 0) -> int:
+    """Buckets a shard: a power of two that keeps a bucket within its bytes and rows on average."""
+    need = max(-(-total // (shards * bucket_bytes)), -(-rows // (shards * BUCKET_ROWS)))
+    return max(1, 1 << max(0, need - 1).bit_length())
 
-def _numbered(row: DataFrame) -> DataFrame:
-    """``row`` with the column ``copy``: 0, and for each record of more than EQUAL_ROWS equal ones its number among these."""
-    keys = row.groupBy("doc_id", F.xxhash64("text").alias("h")).count().where(F.col("count") > EQUAL_ROWS).select("doc_id", "h", F.lit(True).alias("many"))
+
+def _numbered(row: DataFrame, bucket_bytes: int) -> DataFrame:
+    """``row`` with the column ``copy``: 0, and for each record of too many equal ones its number among these."""
+    equal = row.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(_size()).alias("size"))
+    too_many = (F.col("n") > EQUAL_ROWS) | ((F.col("n") > 1) & (F.col("size") > bucket_bytes))
+    keys = equal.where(too_many).select("doc_id", "h", F.lit(True).alias("many"))
     marked = row.withColumn("h", F.xxhash64("text")).alias("l").join(keys.alias("k"), F.expr("l.doc_id <=> k.doc_id AND l.h = k.h"), "left").select("l.*", "k.many")
     counted = marked.where("many").groupBy(*row.columns).agg(F.count(F.lit(1)).alias("n"))
     many = counted.select(*row.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
     return marked.where("many IS NULL").select(*row.columns, F.lit(0).cast("long").alias("copy")).unionByName(many)
 
 
+def fisher_yates(n: Column, *seeds: Column | int) -> Column:
+    """A permutation of 0 to n - 1, from the inside out: step i puts i at a drawn place j <= i and what was there at i."""
+    keys = [F.lit(s) if isinstance(s, int) else s for s in seeds]
+
+    def step(a: Column, i: Column) -> Column:
+        j = F.pmod(F.xxhash64(*keys, i), i.cast("long") + 1).cast("int")
+        swapped = F.concat(F.slice(a, F.lit(1), j), F.array(i), F.slice(a, j + 2, i - j - 1), F.array(F.get(a, j)))
+        return F.when(j == i, F.concat(a, F.array(i))).otherwise(swapped)
+
+    # A sequence of 0 to n steps without its last: n = 0 has none.
+    return F.aggregate(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), F.array().cast("array<int>"), step)
+
+
 def shuffled(docs: DataFrame, shards: int = 16, seed: int = 20240601, bucket_bytes: int = 4 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """shard, bucket, place in the bucket, doc_id, text and the columns to keep; not yet written."""
     row = docs.select(
@@ -64,10 +89,10 @@ def shuffled(docs: DataFrame, shards: int = 16, seed: int = 20240601, bucket_byt
         F.col("text").cast("string").alias("text"),
         *[F.col(c).alias(f"kept_{c}") for c in keep],
     )
-    total, most = measured(row.select("doc_id", "text"))
-    buckets = bucket_count(total, shards, bucket_bytes)
+    total, count, most, most_bytes = measured(row.select("doc_id", "text"))
+    buckets = bucket_count(total, shards, bucket_bytes, count)
     fields = row.columns
-    row = _numbered(row) if most > EQUAL_ROWS else row.withColumn("copy", F.lit(0).cast("long"))
+    row = _numbered(row, bucket_bytes) if most > EQUAL_ROWS or most_bytes > bucket_bytes else row.withColumn("copy", F.lit(0).cast("long"))
     dealt = row.withColumn("shard", shard_of(F.col("doc_id"), shards, seed)).withColumn(
         "bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text", "copy"), F.lit(buckets)).cast("int")
     )
@@ -76,7 +101,8 @@ def shuffled(docs: DataFrame, shards: int = 16, seed: int = 20240601, bucket_byt
     scattered = dealt.repartition("shard", "bucket").groupBy("shard", "bucket").agg(
         F.sort_array(F.collect_list(F.struct(first, *fields))).alias("rows")
     )
-    mixed = scattered.select("shard", "bucket", F.posexplode(F.shuffle("rows", F.lit(seed + 3))).alias("place", "r"))
+    order = fisher_yates(F.size("rows"), seed + 3, F.col("shard"), F.col("bucket"))
+    mixed = scattered.select("shard", "bucket", F.posexplode(F.transform(order, lambda i: F.get("rows", i))).alias("place", "r"))
     return mixed.select("shard", "bucket", "place", *[F.col(f"r.{f}").alias(f.removeprefix("kept_") if f.startswith("kept_") else f) for f in fields])
 
 
