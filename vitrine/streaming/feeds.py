@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vitrine.operators.breaker import record
 from vitrine.operators.sequence import sketch_bucket
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -69,6 +70,53 @@ def request_breakers(events: DataFrame, failures: int = 3, idle_ms: int = 14 * 8
     )
 
 
+class _TimedBreaker(StatefulProcessor):
+    """A key's breaker: its state is a number, which a timer takes away when the key has been idle."""
+
+    def __init__(self, threshold: int, reset: float, idle: float) -> None:
+        self.threshold, self.reset, self.idle_ms = threshold, round(reset * 1e6), round(max(idle, reset) * 1e3)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "state long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = self.state.get()[0] if self.state.exists() else 0
+        own = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        found = []
+        for at, event_id, failed in zip(own["at"].tolist(), own["event_id"].tolist(), own["failed"].tolist(), strict=True):
+            state, refused, opens = record(state, at, True, failed, self.threshold, self.reset)
+            found.append((key[0], event_id, refused, opens))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if state:
+            self.state.update((state,))
+            self.handle.registerTimer(max(int(own["at"].max()) // 1000, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
+        else:
+            self.state.clear()
+        yield pd.DataFrame(found, columns=["user_id", "event_id", "refused", "opens"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({"user_id": pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "refused": pd.Series(dtype=bool), "opens": pd.Series(dtype=bool)})
+
+    def close(self) -> None:
+        pass
+
+
+def timed_breakers(events: DataFrame, threshold: int = 3, reset: float = 30.0, idle: float = 86_400.0) -> DataFrame:
+    """user_id, event_id, refused, opens of each call, as ``breaker.outcomes`` gives them where all calls ask.
+
+    Errors are failures. Seconds: ``reset`` until a breaker may be asked again, ``idle`` (``reset`` at least) of event time
+    after which a key without calls has no state any more. A key without failures has none either.
+    It needs the RocksDB state store, as all operators of this kind do.
+    """
+    own = events.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("at"), (F.col("event_type") == "error").alias("failed"))
+    return own.groupBy("user_id").transformWithStateInPandas(
+        _TimedBreaker(threshold, reset, idle), "user_id long, event_id long, refused boolean, opens boolean", "append", "EventTime"
+    )
+
+
 def upsert_stream(events: DataFrame, folder: str, checkpoint: str, key: str = "event_id") -> StreamingQuery:
     """Write each micro-batch once, a folder for each batch id, with the last row of each key.
 
