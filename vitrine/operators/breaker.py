@@ -13,13 +13,16 @@ for each key, which gives the state that each chunk is entered in. Last, the chu
 
 Defined cases: calls without a time are left out; a null key is a key; a null ``failed`` is a success and a null
 ``asks`` asks; repeated calls are separate calls;
-a null id stays null and comes last at its time; an empty log gives no row; other columns are not carried.
+a null id stays null and comes first at its time; an empty log gives no row; other columns are not carried.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +90,31 @@ def passed(state: int, counted: list[int], edges: list[int], left: list[int], re
     return state if out == _STAYS else out
 
 
+def _stretches(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal values of ``by``, whole also where they go over several batches."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if not rows.num_rows:
+            continue
+        codes = [np.asarray(pc.fill_null(batch.column(c).dictionary_encode().indices, -1)) for c in by]
+        cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1).tolist(), rows.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            part = rows.slice(start, end - start)
+            if held and any(held[0].column(c)[0].as_py() != part.column(c)[0].as_py() for c in by):
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _batch(rows: pa.Table, **columns: pa.Array) -> pa.RecordBatch:
+    """Columns of ``rows`` and further ones as one batch."""
+    own = {c: rows.column(c).combine_chunks() for c in rows.column_names} | columns
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in own.values()], names=list(own))
+
+
 def outcomes(calls: DataFrame, key: str, call_id: str, at: Column, failed: Column, asks: Column | None = None, threshold: int = 3, reset: float = 30.0, chunk: float = 86_400.0) -> DataFrame:
     """key, call_id, refused, opens and failures in a row (``threshold`` while open) after each call. ``reset`` and ``chunk`` are seconds."""
     span, width = round(reset * 1e6), round(chunk * 1e6)
@@ -101,33 +129,37 @@ def outcomes(calls: DataFrame, key: str, call_id: str, at: Column, failed: Colum
     ).where("at IS NOT NULL")
     kind, id_kind = rows.schema["key"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
 
-    def ordered(own: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
-        own = own.sort_values(["at", "id"], kind="stable")
-        return own, own["at"].to_numpy(np.int64), own["asks"].to_numpy(bool), own["failed"].to_numpy(bool)
-
-    def summed(own: pd.DataFrame) -> pd.DataFrame:
-        _, times, asking, failing = ordered(own)
-        counted, edges, left = passages(times, asking, failing, threshold, span)
-        return pd.DataFrame({"key": own["key"].iloc[:1], "chunk": own["chunk"].iloc[:1], "counted": [counted], "edges": [edges], "left": [left]})
-
-    def chained(tables: pd.DataFrame) -> pd.DataFrame:
-        tables = tables.sort_values("chunk")
-        state, entered = 0, []
-        for row in tables.itertuples(index=False):
-            entered.append(state)
-            state = passed(state, row.counted, row.edges, row.left, span)
-        return pd.DataFrame({"key": tables["key"], "chunk": tables["chunk"], "state": entered})
-
-    def gone_through(own: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        own, times, asking, failing = ordered(own)
-        state, found = int(entry["state"].iloc[0]), []
-        for t, a, f in zip(times.tolist(), asking.tolist(), failing.tolist(), strict=True):
-            state, refused, opens = record(state, t, a, f, threshold, span)
-            found.append((refused, opens, threshold if state > _LEAST_OPEN else state))
-        refused, opens, failures = zip(*found, strict=True)
-        return pd.DataFrame({"key": own["key"], "id": own["id"], "refused": refused, "opens": opens, "failures": failures})
-
-    tables = rows.groupBy("key", "chunk").applyInPandas(summed, f"key {kind}, chunk long, counted array<long>, edges array<long>, left array<long>")
-    entries = tables.groupBy("key").applyInPandas(chained, f"key {kind}, chunk long, state long")
-    own = rows.groupBy("key", "chunk").cogroup(entries.groupBy("key", "chunk")).applyInPandas(gone_through, f"key {kind}, id {id_kind}, refused boolean, opens boolean, failures long")
+    flat = ["key", "chunk", "at", "id", "failed", "asks"]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _stretches(batches, ["key", "chunk"]):
+            counted, edges, left = passages(*(own.column(c).to_numpy() for c in ("at", "asks", "failed")), threshold, span)
+            yield _batch(own.slice(0, 1).select(["key", "chunk"]), counted=pa.array([counted]), edges=pa.array([edges], pa.list_(pa.int64())), left=pa.array([left]))
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = object(), 0
+        for batch in batches:
+            entered = []
+            for row in batch.to_pylist():
+                key, state = row["key"], state if row["key"] == key else 0
+                entered.append(state)
+                state = passed(state, row["counted"], row["edges"], row["left"], span)
+            yield _batch(pa.Table.from_batches([batch]).select(["key", "chunk"]), state=pa.array(entered, pa.int64()))
+
+    def gone_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _stretches(batches, ["key", "chunk"]):
+            state, found = own.column("state")[0].as_py(), []
+            own = own.slice(1)
+            for t, a, f in zip(*(own.column(c).to_pylist() for c in ("at", "asks", "failed")), strict=True):
+                state, refused, opens = record(state, t, a, f, threshold, span)
+                found.append((refused, opens, threshold if state > _LEAST_OPEN else state))
+            refused, opens, failures = zip(*found, strict=True)
+            yield _batch(own.select(["key", "id"]), refused=pa.array(refused), opens=pa.array(opens), failures=pa.array(failures, pa.int64()))
+
+    dealt = rows.select(*flat).repartition("key", "chunk").sortWithinPartitions(*flat[:4])
+    tables = dealt.mapInArrow(summed, f"key {kind}, chunk long, counted array<long>, edges array<long>, left array<long>")
+    entries = tables.repartition("key").sortWithinPartitions("key", "chunk").mapInArrow(chained, f"key {kind}, chunk long, state long")
+    # A chunk's entry is a row of it, before its calls: no join, so no rows are dealt otherwise than by key and chunk.
+    both = rows.unionByName(entries, allowMissingColumns=True).repartition("key", "chunk")
+    own = both.sortWithinPartitions("key", "chunk", F.col("state").isNull(), "at", "id").mapInArrow(gone_through, f"key {kind}, id {id_kind}, refused boolean, opens boolean, failures long")
     return own.select(F.col("key").alias(key), F.col("id").alias(call_id), "refused", "opens", "failures")
