@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.text import search_tokens
 from vitrine.session import kept as written
 
-from .ranking import _best, top_k
+from .ranking import top_k
 
 #: Bytes of query vectors that a task holds at once, and rows that are multiplied at once.
 BLOCK_BYTES, CHUNK = 16 << 20, 1024
@@ -76,24 +76,48 @@ def _dense(lists: pa.ListArray, values: pa.ListArray, places: int) -> np.ndarray
     return matrix
 
 
+def _merged(held: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query (a column of ``scores``) as query, id and score: those held, in that order, and those of more rows.
+
+    Only what beats a query's k-th so far, of those held or of these rows, is sorted.
+    """
+    query, near, score = held
+    count = scores.shape[1]
+    last = np.flatnonzero(np.append(query[1:] != query[:-1], True)) if len(query) else query
+    full = last[np.bincount(query, minlength=count)[query[last]] == k] if len(query) else last
+    least, beside = np.full(count, -np.inf), np.full(count, np.iinfo(np.int64).max)
+    least[query[full]], beside[query[full]] = score[full], near[full]
+    better = (scores > least) | ((scores == least) & (own[:, None] < beside))
+    if len(own) > k and better.sum() > 4 * k * count:
+        better &= scores >= np.partition(scores, len(own) - k, axis=0)[len(own) - k]
+    row, column = np.nonzero(better)
+    query, near, score = np.append(query, column), np.append(near, own[row]), np.append(score, scores[row, column])
+    order = np.lexsort((near, -score, query))
+    query, near, score = query[order], near[order], score[order]
+    first = np.searchsorted(query, np.arange(count))
+    kept = np.arange(len(query)) - first[query] < k
+    return query[kept], near[kept], score[kept]
+
+
 def _scorer(ids: np.ndarray, asked: np.ndarray, k: int, item: str, places: int, skip_self: bool) -> Callable:
     lengths = np.sqrt((asked**2).sum(1))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros((0, len(ids)), np.int64), np.zeros((0, len(ids))))
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
                 own = part.column(0).to_numpy()
                 rows = _dense(part.column(1), part.column(2), places)
                 size = np.sqrt((rows**2).sum(1))[:, None] * lengths
-                scores = np.where(size > 0, rows @ asked.T / np.where(size > 0, size, 1), 0.0)
+                scores = rows @ asked.T
+                np.divide(scores, size, out=scores, where=size > 0)
                 if skip_self:
                     scores[own[:, None] == ids] = -np.inf
-                held = _best(held, own, scores, k)
-        ok = np.isfinite(held[1])
-        query = np.broadcast_to(ids, held[0].shape)[ok]
-        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(held[0][ok]), pa.array(held[1][ok])], names=["query_id", item, "score"])
+                held = _merged(held, own, scores, k)
+        query, near, score = held
+        ok = np.isfinite(score)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[query[ok]]), pa.array(near[ok]), pa.array(score[ok])], names=["query_id", item, "score"])
 
     return best
 
