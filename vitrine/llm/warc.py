@@ -9,8 +9,8 @@ Defined cases: a null payload is an empty one. A null page id is written without
 read back as null, and never refers to itself; among equal payloads the largest id that is not
 null is the response, and rows that repeat that id are responses too. Without any id every one
 is a response. An empty table gives no archive and no records. Other columns are ignored.
-Archives are written by task and attempt under a temporary name and renamed when complete, so
-an attempt that is lost leaves nothing that a reader lists.
+Archives are written by task and attempt, each under a name of its own, and a manifest lists those of
+the attempts that counted. A lost attempt may leave a file, which no manifest lists and so no reader opens.
 """
 
 from __future__ import annotations
