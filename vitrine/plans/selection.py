@@ -159,16 +159,10 @@ _PICK_SQL = """row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN conta
 def compared_cards(spark, sf_dir):
     """A card for both sides of a comparison: a match within budget, else a match, else another; no card twice."""
     p = table(spark, sf_dir, "part")
-    asked = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.split("p_name", " ").alias("terms"), F.col("p_retailprice").alias("high"), "p_type")
-    card = p.select(F.col("p_partkey").alias("product_id"), F.lower("p_name").alias("name"), F.col("p_retailprice").alias("price"), "p_type")
-    met = card.join(asked, "p_type").withColumn("affordable", F.col("price") <= F.col("high"))
-
-    def pick(rows, k):
-        return selection.compared_pick(rows.withColumn("matches", F.contains("name", F.col("terms")[k - 1])), "query_id", [F.col("product_id")]).select("query_id", F.lit(k).alias("side"), "product_id")
-
-    first = pick(met, 1)
-    rest = met.join(first.select("query_id", F.col("product_id").alias("taken")), "query_id").where("product_id <> taken")
-    return first.unionByName(pick(rest, 2))
+    terms = F.array(*[F.split_part("p_name", F.lit(" "), F.lit(k)) for k in (1, 2)])
+    asked = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), terms.alias("terms"), F.col("p_retailprice").alias("high"), F.col("p_type").alias("category"))
+    cards = p.select(F.col("p_partkey").alias("product_id"), F.lower("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.col("p_type").alias("category"))
+    return selection.compared_pick(cards, asked)
 
 
 def _fold_sql() -> str:
