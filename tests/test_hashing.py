@@ -49,3 +49,44 @@ def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(hashing, "CHUNK", 2)
     assert {(r.query_id, r.doc_id, r["rank"]) for r in hashing.nearest(own, own, 4).collect()} == want
     assert hashing.nearest(own.limit(0), own, 4).count() == 0 and hashing.nearest(own, own.limit(0), 4).count() == 0
+
+
+def test_models_of_copied_products(spark, tmp_path, monkeypatch):
+    """Copies of products add nothing to what is multiplied: the ten lowest ids of a text and one query a name."""
+    import duckdb
+
+    from vitrine.plans import SQL
+    from vitrine.plans.vectors import hashing_models
+
+    names = [f"{a} {b}" for a in ("big", "old", "red") for b in ("ring", "bolt")]
+    parts = [(i, names[i % 6] if i % 97 != 1 else None, f"Brand#{i % 2}", "SMALL") for i in range(1500)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    sizes, real = [], hashing.nearest
+
+    def nearest(rows, queries, *rest, **named):
+        sizes.append((rows.count(), queries.count()))
+        return real(rows, queries, *rest, **named)
+
+    monkeypatch.setattr(hashing, "nearest", nearest)
+    got = sorted(tuple(r) for r in hashing_models(spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert got == sorted(db.execute(SQL["hashing_models"]).fetchall())
+    assert max(r for r, _ in sizes) <= 14 * 10 and max(q for _, q in sizes) <= 7
+
+
+def test_memory_of_a_task(spark):
+    """2,000 rows at once and 3,000 queries: one matrix of 1,024 rows has 24 MB, and there were several."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(7)
+    lists = lambda n: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(draw.integers(0, 16, n).astype(np.int32)))
+    q, rows = (lists(3000), lists(3000)), pa.RecordBatch.from_arrays([pa.array(np.arange(2000)), lists(2000), lists(2000)], names=["doc_id", "places", "eighths"])
+    tracemalloc.start()
+    found = list(hashing._scorer(np.arange(3000), *q, 10, "doc_id", 16, True)(iter([rows])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in found) == 30000 and peak < 50e6
