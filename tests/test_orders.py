@@ -82,3 +82,51 @@ def test_empty(spark):
     stock = spark.createDataFrame([(7, 20)], "sku long, available long")
     assert orders.admitted(none, stock).count() == 0
     assert [tuple(r) for r in orders.ledger(none, stock, orders.admitted(none, stock)).collect()] == [(7, 20, 0, 0, 0)]
+
+
+def test_rounds_carry_open_orders_only(spark, monkeypatch):
+    """What is taken leaves the rows of the next rounds but one, though its products have open orders for long."""
+    from vitrine.operators import orders
+
+    # Product 1 has a chain of orders that are decided one a round; a hundred others of it are taken in the first.
+    lines = [(i, i, 1, 1) for i in range(100)] + [(1000 + i, 1000 + i, sku, 60) for i in range(6) for sku in (i + 1, i + 2)] + [(2000, 2000, 1, 60)]
+    sizes, real = [], orders.kept
+
+    def kept(df, name):
+        found = real(df, name)
+        if name == "orders-open":
+            sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(orders, "kept", kept)
+    own = spark.createDataFrame([(*row, None) for row in lines], "order_id long, at long, sku long, quantity long, gone_at long")
+    stock = spark.createDataFrame([(1, 200)] + [(s, 100) for s in range(2, 9)], "sku long, available long")
+    got = {r.order_id: r.accepted for r in orders.admitted(own, stock).collect()}
+    left, want = {1: 200, **{s: 100 for s in range(2, 9)}}, {}
+    for o in sorted({row[0] for row in lines}):
+        mine = [(row[2], row[3]) for row in lines if row[0] == o]
+        want[o] = all(left[s] >= q for s, q in mine)
+        for s, q in mine:
+            left[s] -= q if want[o] else 0
+    assert got == want and len(sizes) > 3 and max(sizes[2:]) < 20
+
+
+def test_reservations_in_one_pass(spark, tmp_path, monkeypatch):
+    """An order of one product needs no rounds, and so no written tables."""
+    import datetime
+
+    from vitrine.operators import orders
+    from vitrine.plans.commerce import stock_reservation
+
+    day = datetime.datetime(2020, 1, 1)
+    rows = [(o, o % 3, float(1 + o * 7 % 50), day + datetime.timedelta(days=o * 5 % 11)) for o in range(200)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(orders, "kept", None)
+    got = {r.sku: (r.accepted, r.refused, r.reserved) for r in stock_reservation(spark, str(tmp_path)).collect()}
+    for sku in range(3):
+        held = taken = 0
+        own = sorted((d, o, q) for o, s, q, d in rows if s == sku)
+        for _, _, q in own:
+            if held + q <= 300:
+                held, taken = held + q, taken + 1
+        assert got[sku] == (taken, len(own) - taken, held)

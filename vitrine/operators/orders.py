@@ -17,6 +17,9 @@ by order id; a cancel before or at its order's own place comes right after it; e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,31 +45,53 @@ def admitted(lines: DataFrame, stock: DataFrame) -> DataFrame:
     """
     own = lines.groupBy("order_id", "sku").agg(F.min("at").alias("at"), F.min("gone_at").alias("gone_at"), F.sum("quantity").cast("long").alias("quantity"))
     own = own.join(stock.select("sku", F.col("available").cast("long").alias("available")), "sku", "left")
-    take = own.select("sku", "order_id", F.col("at").alias("time"), F.lit(0).alias("step"), "quantity", "available", F.lit(False).alias("sure"))
     late = F.greatest("gone_at", "at")
     # A cancel of the order's own time comes after all orders of that time that come before it, and right after itself.
-    back = own.where("gone_at IS NOT NULL").select("sku", "order_id", late.alias("time"), F.lit(1).alias("step"), (-F.col("quantity")).alias("quantity"), "available", F.lit(False).alias("sure"))
-    open_rows = kept(take.unionByName(back), "orders-open")
+    move = lambda time, step, quantity: F.struct(time.alias("time"), F.lit(step).alias("step"), quantity.alias("quantity"))
+    moves = F.array_compact(F.array(move(F.col("at"), 0, F.col("quantity")), F.when(F.col("gone_at").isNotNull(), move(late, 1, -F.col("quantity")))))
+    zero = F.lit(0).cast("long")
+    # What is taken for sure before a row is a number of the row, ``base``; a row taken stays for one more round, to be added to those after it.
+    open_rows = kept(own.select("sku", "order_id", "available", F.explode(moves).alias("m")).select("sku", "order_id", "m.*", "available", zero.alias("base"), F.lit(False).alias("sure")), "orders-open")
     decided = None
     while not open_rows.where("NOT sure").isEmpty():
-        amounts = {"least": F.when(F.col("sure"), F.col("quantity")).otherwise(0), "most": F.col("quantity")}
-        seen = running(open_rows, "sku", "time", ["order_id", "step"], amounts)
+        amounts = {"taken": F.when(F.col("sure"), F.col("quantity")).otherwise(0), "most": F.col("quantity")}
+        seen = running(open_rows, "sku", "time", ["order_id", "step"], amounts).where("NOT sure")
+        seen = kept(seen.select("sku", "order_id", "time", "step", "quantity", "available", (F.col("base") + F.col("taken")).alias("base"), (F.col("base") + F.col("most")).alias("most")), "orders-seen")
         unknown = F.col("available").isNull() | F.col("quantity").isNull()
-        mine = seen.where("step = 0 AND NOT sure").groupBy("order_id").agg(
-            F.bool_or(unknown | (F.col("least") + F.col("quantity") > F.col("available"))).alias("refused"),
+        mine = seen.where("step = 0").groupBy("order_id").agg(
+            F.bool_or(unknown | (F.col("base") + F.col("quantity") > F.col("available"))).alias("refused"),
             F.bool_and(~unknown & (F.col("most") + F.col("quantity") <= F.col("available"))).alias("fits"),
         )
         answers = kept(mine.where("refused OR fits").select("order_id", F.col("fits").alias("accepted")), "orders-decided")
         decided = answers if decided is None else decided.unionByName(answers)
-        after = open_rows.join(answers, "order_id", "left").where("sure OR accepted IS NULL OR accepted")
-        after = after.withColumn("sure", F.col("sure") | F.coalesce("accepted", F.lit(False))).drop("accepted")
-        # Products without an open order have nothing left to say.
-        busy = after.where("NOT sure").select("sku").distinct()
-        open_rows = kept(after.join(busy, "sku", "left_semi"), "orders-open")
+        after = seen.drop("most").join(answers, "order_id", "left").where("accepted IS NULL OR accepted")
+        open_rows = kept(after.withColumn("sure", F.col("accepted").isNotNull()).drop("accepted"), "orders-open")
     empty = own.select("order_id", F.lit(True).alias("accepted")).limit(0)
     return empty if decided is None else decided
 
 
+def reserved(asked: DataFrame, available: int) -> DataFrame:
+    """sku, quantity, accepted of ``asked`` (sku, at, order_id, quantity: one product an order): in order, what still fits in ``available`` is taken.
+
+    An order of one product hangs on no other product, so one pass over the sorted rows decides all. A row without quantity is refused.
+    """
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, 0
+        for batch in batches:
+            taken = []
+            for sku, quantity in zip(batch.column("sku").to_pylist(), batch.column("quantity").to_pylist(), strict=True):
+                if sku != current:
+                    current, held = sku, 0
+                fits = sku is not None and quantity is not None and held + quantity <= available
+                held += quantity if fits else 0
+                taken.append(fits)
+            yield pa.RecordBatch.from_arrays([batch.column("sku"), batch.column("quantity"), pa.array(taken, pa.bool_())], names=["sku", "quantity", "accepted"])
+
+    in_order = asked.repartition("sku").sortWithinPartitions("sku", F.asc_nulls_last("at"), "order_id").select("sku", "quantity")
+    return in_order.mapInArrow(decide, "sku long, quantity long, accepted boolean")
+
+
 def ledger(lines: DataFrame, stock: DataFrame, accepted: DataFrame) -> DataFrame:
     """sku, available, reserved, sold, given_back after all moves.
 
