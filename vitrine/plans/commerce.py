@@ -167,10 +167,9 @@ def idempotent_orders(spark, sf_dir):
     SELECT sku, count(*) FILTER (taken) AS accepted, count(*) FILTER (k > 0 AND NOT taken) AS refused, CAST(max(held) AS BIGINT) AS reserved FROM r GROUP BY 1""")
 def stock_reservation(spark, sf_dir):
     """Reservations of an order for a product, by their day: taken while 300 pieces last; a refused one takes nothing."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey").agg(F.sum("l_quantity").cast("long").alias("quantity"), F.min(F.col("l_shipdate").cast("date")).alias("at"))
-    asked = rows.select(F.struct("l_orderkey", "l_partkey").alias("order_id"), "at", F.lit(None).cast("date").alias("gone_at"), F.col("l_partkey").alias("sku"), "quantity")
-    answers = orders.admitted(asked, asked.select("sku").distinct().withColumn("available", F.lit(300)))
-    own = asked.join(answers, "order_id").groupBy("sku")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("sku"), F.col("l_orderkey").alias("order_id"), "l_quantity", F.col("l_shipdate").cast("date").alias("at"))
+    asked = lines.repartition("sku").groupBy("sku", "order_id").agg(F.sum("l_quantity").cast("long").alias("quantity"), F.min("at").alias("at"))
+    own = orders.reserved(asked, 300).groupBy("sku")
     return own.agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("refused"), F.coalesce(F.sum(F.when(F.col("accepted"), F.col("quantity"))), F.lit(0)).alias("reserved"))
 
 
