@@ -12,6 +12,9 @@ from vitrine.session import table
 
 from .registry import query
 
+#: Rows that a task sorts, about.
+ROWS_OF_A_TASK = 500_000
+
 _PRICES = """prices AS (SELECT l_partkey AS sku, l_shipdate AS day, max(l_extendedprice / l_quantity) AS price FROM lineitem GROUP BY 1, 2)"""
 
 
@@ -38,17 +41,26 @@ def price_scd2(spark, sf_dir):
 def order_asof_price(spark, sf_dir):
     """The price of each ordered product as of the order's date.
 
-    Orders and prices are put in one ordered list of each product and the last price is carried
-    on, so an order does not meet all prices of its product.
+    Orders and prices are put in one sorted list of each product and the last price is carried
+    on, so an order does not meet all prices of its product. Lines are dealt and sorted as they are:
+    a day's highest price is the last of its rows, and a row that repeats the one before (a day of prices,
+    an order of the product) counts for nothing, so no table of days or of orders is held. A task sorts
+    about ``ROWS_OF_A_TASK`` rows, however many there are.
     """
-    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_orderdate", F.col("l_partkey").alias("sku")).distinct()
-    events = orders.select("sku", F.col("o_orderdate").alias("day"), "o_orderkey", F.lit(None).cast("double").alias("price")).unionByName(
-        _prices(spark, sf_dir).select("sku", "day", F.lit(None).cast("long").alias("o_orderkey"), "price")
-    )
-    # Of one date, prices come before orders.
-    order = Window.partitionBy("sku").orderBy("day", F.col("o_orderkey").isNotNull(), "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    own = events.withColumn("last", F.last("price", ignorenulls=True).over(order)).withColumn("earlier_prices", F.count("price").over(order))
-    return own.where("o_orderkey IS NOT NULL AND last IS NOT NULL").select("o_orderkey", "sku", F.col("day").alias("o_orderdate"), F.col("last").alias("price"), "earlier_prices")
+    lines = table(spark, sf_dir, "lineitem")
+    count = lines.count()
+    tasks = lambda rows: max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_OF_A_TASK)
+    asked = lines.select("l_orderkey", "l_partkey").repartition(tasks(count), "l_orderkey")
+    dates = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").repartition(tasks(count), "o_orderkey")
+    orders = asked.join(dates, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_partkey").alias("sku"), F.col("o_orderdate").alias("day"), "o_orderkey", F.lit(None).cast("double").alias("price"))
+    prices = lines.select(F.col("l_partkey").alias("sku"), F.col("l_shipdate").alias("day"), F.lit(None).cast("long").alias("o_orderkey"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    events = orders.unionByName(prices).where("sku IS NOT NULL AND day IS NOT NULL").repartition(tasks(2 * count), "sku")
+    # Of one date, prices (without an order) come first, the highest of them last.
+    order = Window.partitionBy("sku").orderBy("day", "o_orderkey", "price")
+    before = order.rowsBetween(Window.unboundedPreceding, 0)
+    same = F.lag("day").over(order).eqNullSafe(F.col("day")) & F.lag("o_orderkey").over(order).eqNullSafe(F.col("o_orderkey"))
+    own = events.withColumn("new", ~same).withColumn("last", F.last("price", ignorenulls=True).over(before)).withColumn("earlier_prices", F.count_if(F.col("new") & F.col("o_orderkey").isNull()).over(before))
+    return own.where("o_orderkey IS NOT NULL AND new AND earlier_prices > 0").select("o_orderkey", "sku", F.col("day").alias("o_orderdate"), F.col("last").alias("price"), "earlier_prices")
 
 
 @query(f"""WITH {_PRICES}, latest AS (SELECT sku, arg_max(price, day) AS price FROM prices GROUP BY 1), qty AS (SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q, count(*) AS n FROM lineitem GROUP BY 1)
