@@ -44,6 +44,7 @@ no row; other columns are ignored, or carried by ``first_of_each``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -274,6 +275,11 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return result
 
 
+def unseen(pairs: DataFrame, seen: list[DataFrame]) -> DataFrame:
+    """The pairs (hub, node) that none of the earlier rounds' has. They pass one join, whatever the round."""
+    return pairs.join(reduce(DataFrame.unionByName, seen), ["hub", "node"], "left_anti")
+
+
 def linked(members: DataFrame, docs: DataFrame, idf: np.ndarray, least: float, labels: DataFrame | None = None, report: dict | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Links (a, b) that were found and the components they make, for members (key, node, weight, popular) of buckets.
 
@@ -326,9 +332,7 @@ def linked(members: DataFrame, docs: DataFrame, idf: np.ndarray, least: float, l
         others = small.where("own <> major").select("key", F.col("node").alias("hub"), F.col("own").alias("hub_own"), F.col("weight").alias("hub_weight"))
         met = small.join(others, "key").where("own <> hub_own").where(alike(F.col("weight"), F.col("hub_weight")))
         meet = met.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
-        for before in seen:
-            meet = meet.join(before, ["hub", "node"], "left_anti")
-        pairs = written(around.unionByName(meet.withColumn("wanted", F.lit(False))), "pairs")
+        pairs = written(around.unionByName(unseen(meet, seen).withColumn("wanted", F.lit(False))), "pairs")
         found = written(compared(pairs, docs, idf, least), "compared")
         link(found)
         seen.append(written(found.where("NOT wanted").select("hub", "node"), "seen"))
@@ -348,10 +352,7 @@ def linked(members: DataFrame, docs: DataFrame, idf: np.ndarray, least: float, l
         links[-1] = written(links[-1], "linked")
         dropped(buckets, held, pairs, found, shared, *([members] if report["rounds"] > 1 else []))
         members = dealt
-    made = links[0]
-    for more in links[1:]:
-        made = made.unionByName(more)
-    return made, labels
+    return reduce(DataFrame.unionByName, links), labels
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, report: dict | None = None) -> DataFrame:
