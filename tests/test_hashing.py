@@ -75,6 +75,22 @@ def test_models_of_copied_products(spark, tmp_path, monkeypatch):
     assert max(r for r, _ in sizes) <= 14 * 10 and max(q for _, q in sizes) <= 7
 
 
+def test_models_ask_each_product(spark, tmp_path):
+    """Means are over all products, not over those whose id is divisible by 50: of 60 products only the ten lowest ids of one name are found."""
+    import duckdb
+
+    from vitrine.plans import SQL
+    from vitrine.plans.vectors import hashing_models
+
+    parts = [(i, f"odd word{i}" if i > 40 else "big ring", "Brand", "SMALL") for i in range(1, 61)] + [(None, "odd", "Brand", "SMALL")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.model: r for r in hashing_models(spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet' WHERE p_partkey IS NOT NULL")
+    assert sorted(tuple(r) for r in got.values()) == sorted(db.execute(SQL["hashing_models"]).fetchall())
+    assert {r.queries for r in got.values()} == {60} and got["hashed 384"].recall == 0.5
+
+
 def test_memory_of_a_task(spark):
     """2,000 rows at once and 3,000 queries: one matrix of 1,024 rows has 24 MB, and there were several."""
     import tracemalloc
