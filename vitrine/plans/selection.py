@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.text import search_tokens_sql
 from vitrine.operators import ranking, selection, vectors
-from vitrine.session import table
+from vitrine.session import kept, table
 
 from .filters import PRODUCT_SQL, products
 from .registry import query
@@ -43,9 +43,9 @@ def _asked(spark, sf_dir):
     QUALIFY rank <= 10""")
 def many_queries_topk(spark, sf_dir):
     """The whole pipeline for a table of queries: pools, a second recall where the first is empty, all filters, rules, ten each."""
-    p, q = products(spark, sf_dir), _asked(spark, sf_dir)
-    kept = selection.filtered(selection.retrieved(p, q), p, q)
-    score = kept.select("query_id", F.col("product_id").alias("doc_id"), "relaxed", F.round(F.col("recall") + selection.bonus(), 6).alias("score"))
+    p, q = kept(products(spark, sf_dir), "products"), _asked(spark, sf_dir)
+    left = selection.filtered(selection.retrieved(p, q), p, q)
+    score = left.select("query_id", F.col("product_id").alias("doc_id"), "relaxed", F.round(F.col("recall") + selection.bonus(), 6).alias("score"))
     return ranking.top_k(score, 10).select("query_id", "rank", F.col("doc_id").alias("product_id"), "score", "relaxed")
 
 
@@ -54,7 +54,7 @@ def many_queries_topk(spark, sf_dir):
     FROM q LEFT JOIN n USING (query_id) LEFT JOIN k USING (query_id)""")
 def many_queries_branches(spark, sf_dir):
     """Of each query: how large its pool was, whether filters were relaxed, what is left, and what emptied it."""
-    p, q = products(spark, sf_dir), _asked(spark, sf_dir)
+    p, q = kept(products(spark, sf_dir), "products"), _asked(spark, sf_dir)
     pool = selection.retrieved(p, q)
     n = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("pool"), F.bool_or("relaxed").alias("relaxed"))
     k = selection.filtered(pool, p, q).groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"))
