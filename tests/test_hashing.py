@@ -51,6 +51,67 @@ def test_neighbours(spark, monkeypatch):
     assert hashing.nearest(own.limit(0), own, 4).count() == 0 and hashing.nearest(own, own.limit(0), 4).count() == 0
 
 
+def test_neighbours_bounded_first(monkeypatch):
+    """Cosines that are equal or close, vectors without length and repeated ids: as by exact products, whether or not a bound of some rows is known."""
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(3)
+    monkeypatch.setattr(hashing, "CHUNK", 64)
+    monkeypatch.setattr(hashing, "QUERIES", 16)
+    dense = draw.integers(-1, 2, (700, 12)) * draw.choice([1, 1, 1000], (700, 1))
+    dense[::50] = 0
+    ids = np.append(np.arange(650), draw.integers(0, 650, 50))
+
+    def lists(rows):
+        at = [np.flatnonzero(r) for r in rows]
+        offsets = pa.array(np.append(0, np.cumsum([len(a) for a in at])).astype(np.int32))
+        return [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(v).astype(np.int32))) for v in (at, [r[a] for r, a in zip(rows, at, strict=True)])]
+
+    size = np.sqrt((dense.astype(float) ** 2).sum(1))
+    queries = np.arange(0, 650, 3)
+    dot, sizes = (dense[queries] @ dense.T).astype(float), size[queries, None] * size
+    score = np.divide(dot, sizes, out=np.zeros_like(dot), where=sizes > 0)
+    want = {int(ids[q]): sorted((-s, int(d)) for s, d in zip(score[n], ids, strict=True) if d != ids[q])[:5] for n, q in enumerate(queries)}
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array(ids[some]), *lists(dense[some])], names=["doc_id", "places", "eighths"])
+
+    def found(some, least=None):
+        out = {}
+        for b in hashing._scorer(ids[queries], *lists(dense[queries]), 5, "doc_id", 12, True, least)(iter([batch(some)])):
+            for q, d, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out.setdefault(q, []).append((-s, d))
+        return {q: sorted(v) for q, v in out.items()}
+
+    half = found(np.arange(0, 700, 2))
+    assert found(np.arange(700)) == want
+    assert found(np.arange(700), np.array([-half[int(i)][-1][0] for i in ids[queries]])) == want
+
+
+def test_texts_are_read_once(spark, tmp_path, monkeypatch):
+    """Queries in many blocks: texts are cut into terms once, and neighbours stay those of all pairs."""
+    from vitrine.plans.vectors import hashing_neighbours
+
+    docs = [(i, f"red word{i % 7} word{i % 11} {'blue' * (i % 3)}") for i in range(600)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(tuple(r) for r in hashing_neighbours(spark, str(tmp_path)).collect())
+    calls, real, read = [], hashing.embedded, spark.sparkContext.accumulator(0)
+
+    def embedded(rows, *rest, **named):
+        calls.append(rows)
+
+        def counted(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return real(rows.mapInArrow(counted, rows.schema), *rest, **named)
+
+    monkeypatch.setattr(hashing, "embedded", embedded)
+    monkeypatch.setattr(hashing, "BLOCK_BYTES", 384 * 8 * 3)
+    assert sorted(tuple(r) for r in hashing_neighbours(spark, str(tmp_path)).collect()) == want and len(want) == 120
+    assert len(calls) == 1 and read.value == 600
+
+
 def test_models_of_copied_products(spark, tmp_path, monkeypatch):
     """Copies of products add nothing to what is multiplied: the ten lowest ids of a text and one query a name."""
     import duckdb
